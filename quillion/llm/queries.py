@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc
+from . import lang_ecoc, simhash
 from .shared import read
 
 
@@ -14,8 +14,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ecoc.identify(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op8_language_id]
+    own = [op8_language_id, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
