@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillion.llm import lang_ecoc
+from quillion.llm import lang_ecoc, simhash
 from quillion.llm.shared import materialize
 
 
@@ -17,7 +17,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return lang_ecoc.keep_identified(docs)
 
 
-STAGES = [("language_id", identify_languages)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+STAGES = [("language_id", identify_languages), ("near_dedup", drop_near_duplicates)]
 
 #: The stages train models and follow chains of copies, which SQL can't express.
 ORACLE_SQL = None
