@@ -1,8 +1,10 @@
 """Near-duplicate documents by SimHash, compared exactly, tile against tile.
 
-A document's features are its distinct words of at least five bytes (all its
-words if none is so long, the whole text if it has no word), in lower case and
-without punctuation.  Each feature votes on 128 bits.  Documents whose
+A document's features are its distinct words of at least five bytes, in lower
+case and without punctuation (all its words if fewer than 16 are so long, the
+whole text if it has no word).  Each feature votes on 128 bits, with the weight
+1 + floor(log2(occurrences)), so that a line repeated through a document counts
+for more than a phrase that many documents share.  Documents whose
 fingerprints differ in at most ``radius`` bits are near duplicates; chains of
 them form a group, whose least ``doc_id`` stays.
 
@@ -38,17 +40,13 @@ from .textbytes import _SPACE, buffers, hashes, lowered, mix, pieces, row_of, ru
 TILE = 1024
 
 
-def _features(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct features, sorted by row."""
+def _features(raw: np.ndarray, offsets: np.ndarray, least: int, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, weight) of the distinct features, sorted by row."""
     rows = len(offsets) - 1
     low = lowered(raw)
     start, end = words(low, offsets, "alnum")
     row = row_of(offsets, start)
-    long = end - start >= least
     has = np.zeros(rows, bool)
-    has[row[long]] = True
-    use = long | ~has[row]
-    start, end, row = start[use], end[use], row[use]
     has[row] = True
     if not has.all():  # no word: the text without the white space around it
         ink = np.flatnonzero(~_SPACE[raw])
@@ -63,22 +61,25 @@ def _features(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
         start, end, row = start[order], end[order], row[order]
     h = hashes(low, start, end)
     order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
+    row, h, long = row[order], h[order], (end - start >= least)[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, int)
+    times = np.diff(np.r_[new, len(h)])
+    row, h, long = row[new], h[new], long[new]
+    use = long | (np.bincount(row[long], minlength=rows) < few)[row]
+    weight = np.frexp(times[use])[1]  # 1 + floor(log2)
+    return row[use], h[use], weight.astype(np.int32)
 
 
 def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) words of fingerprint and the number of features, of each row."""
     rows = len(offsets) - 1
     out, count = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64)
-    row, h = _features(raw, offsets, least)
+    row, h, weight = _features(raw, offsets, least)
     if len(h) == 0:
         return out, count
     begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    n = np.diff(np.r_[begin, len(h)])
-    count[row[begin]] = n
+    count[row[begin]] = np.diff(np.r_[begin, len(h)])
+    most = np.add.reduceat(weight, begin)
     both = np.stack([h, mix(h ^ np.uint64(0xD6E8FEB86659FD93))], 1)
     step = 1 << 16
     votes = np.zeros((len(begin), 128), np.int32)
@@ -86,9 +87,9 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, least: int = 5) -> tup
         end = min(len(h), at + step)
         a = int(np.searchsorted(begin, at, "right")) - 1
         b = int(np.searchsorted(begin, end, "left"))
-        bits = np.unpackbits(both[at:end].view(np.uint8).reshape(-1, 16), axis=1)
+        bits = np.unpackbits(both[at:end].view(np.uint8).reshape(-1, 16), axis=1) * weight[at:end, None].astype(np.uint8)
         votes[a:b] += np.add.reduceat(bits, np.maximum(begin[a:b] - at, 0), axis=0, dtype=np.int32)
-    out[row[begin]] = np.packbits(votes * 2 > n[:, None], axis=1).view(np.uint64)
+    out[row[begin]] = np.packbits(votes * 2 > most[:, None], axis=1).view(np.uint64)
     return out, count
 
 
