@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc, simhash
+from . import lang_ecoc, simhash, suffix_dedup
 from .shared import read
 
 
@@ -18,8 +18,12 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op8_language_id, op10_simhash_near_duplicates]
+    own = [op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
