@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillion.llm import lang_ecoc, simhash
+from quillion.llm import lang_ecoc, simhash, suffix_dedup
 from quillion.llm.shared import materialize
 
 
@@ -22,7 +22,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one_of_each(docs)
 
 
-STAGES = [("language_id", identify_languages), ("near_dedup", drop_near_duplicates)]
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that occur earlier are cut from the texts."""
+    return suffix_dedup.cut_repeats(docs)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("near_dedup", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+]
 
 #: The stages train models and follow chains of copies, which SQL can't express.
 ORACLE_SQL = None
