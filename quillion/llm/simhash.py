@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .shared import discard, materialize, ship
 from .textbytes import _SPACE, buffers, hashes, lowered, mix, pieces, row_of, runs, words
 
-TILE = 1024
+TILE = 4096
+SLAB = 16
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray, least: int, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +116,27 @@ def fingerprints(docs: DataFrame, least: int = 5) -> DataFrame:
     return got.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f")).select("doc_id", "f.f0", "f.f1")
 
 
+def _within(a: np.ndarray, b: np.ndarray, radius: int, bits: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b whose words differ in at most ``radius`` bits; the last three are scratch that stays in the cache."""
+    b0, b1 = np.ascontiguousarray(b[:, 0]), np.ascontiguousarray(b[:, 1])
+    found = []
+    for k in range(0, len(a), SLAB):
+        rows = a[k : k + SLAB]
+        x, c, d = (m[: len(rows), : len(b)] for m in (bits, one, two))
+        np.bitwise_xor(rows[:, :1], b0, out=x)
+        np.bitwise_count(x, out=c)
+        np.bitwise_xor(rows[:, 1:], b1, out=x)
+        np.bitwise_count(x, out=d)
+        np.add(c, d, out=c)
+        hit = c <= radius
+        if hit.any():
+            i, j = np.nonzero(hit)
+            found.append((i + k, j))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def components(node: np.ndarray, f: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node of its group) of the rows that are in a group.
 
@@ -125,6 +147,7 @@ def components(node: np.ndarray, f: np.ndarray, side: np.ndarray | None, radius:
     node, f, pc = node[order], np.ascontiguousarray(f[order]), pc[order]
     groups = [np.arange(len(node))] * 2 if side is None else [np.flatnonzero(side[order] == s) for s in (0, 1)]
     parent = np.arange(len(node))
+    room = np.empty((SLAB, TILE), np.uint64), np.empty((SLAB, TILE), np.uint8), np.empty((SLAB, TILE), np.uint8)
     cuts = [[x[k : k + TILE] for k in range(0, len(x), TILE)] for x in groups]
     for ka, a in enumerate(cuts[0]):
         for kb, b in enumerate(cuts[1]):
@@ -132,13 +155,8 @@ def components(node: np.ndarray, f: np.ndarray, side: np.ndarray | None, radius:
                 continue
             if pc[b[0]] - pc[a[-1]] > radius or pc[a[0]] - pc[b[-1]] > radius:
                 continue
-            near = np.bitwise_count(f[a, 0][:, None] ^ f[b, 0][None, :])
-            i, j = np.nonzero(near <= radius)
-            if len(i) == 0:
-                continue
-            far = near[i, j] + np.bitwise_count(f[a[i], 1] ^ f[b[j], 1])
-            hit = far <= radius
-            i, j = a[i[hit]], b[j[hit]]
+            i, j = _within(f[a], f[b], radius, *room)
+            i, j = a[i], b[j]
             if side is None:
                 i, j = i[i < j], j[i < j]
             while len(i):
