@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc, simhash, suffix_dedup
+from . import lang_ecoc, packing, pii_crf, simhash, suffix_dedup
 from .shared import read
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ecoc.identify(read(spark, sf_dir, "documents"))
 
@@ -23,7 +31,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
+    own = [op4_best_fit_packing, op6_pii_semi_crf, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
