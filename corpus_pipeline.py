@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillion.llm import lang_ecoc, simhash, suffix_dedup
+from quillion.llm import lang_ecoc, packing, pii_crf, simhash, suffix_dedup
 from quillion.llm.shared import materialize
 
 
@@ -27,10 +27,22 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return suffix_dedup.cut_repeats(docs)
 
 
+def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private data becomes its type in brackets."""
+    return pii_crf.mask(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each training sequence, with the pieces of documents in it."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("language_id", identify_languages),
     ("near_dedup", drop_near_duplicates),
     ("repeated_passages", cut_repeated_passages),
+    ("private_data", mask_private_data),
+    ("packing", pack_sequences),
 ]
 
 #: The stages train models and follow chains of copies, which SQL can't express.
