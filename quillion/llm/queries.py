@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc, packing, pii_crf, simhash, suffix_dedup
+from . import lang_ecoc, packing, pii_crf, sentencepieces, simhash, suffix_dedup
 from .shared import read
 
 
+def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_best_fit_packing, op6_pii_semi_crf, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
+    own = [op3_sentencepiece_nbest, op4_best_fit_packing, op6_pii_semi_crf, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
