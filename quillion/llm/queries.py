@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc, packing, pii_crf, sentencepieces, simhash, suffix_dedup
+from . import lang_ecoc, mph_store, packing, pii_crf, sentencepieces, simhash, suffix_dedup
 from .shared import read
 
 
@@ -22,6 +22,10 @@ def op6_pii_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find(read(spark, sf_dir, "documents"))
 
 
+def op7_mph_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mph_store.build(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ecoc.identify(read(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_sentencepiece_nbest, op4_best_fit_packing, op6_pii_semi_crf, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
+    own = [op3_sentencepiece_nbest, op4_best_fit_packing, op6_pii_semi_crf, op7_mph_token_store, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
