@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_ecoc, mph_store, packing, pii_crf, sentencepieces, simhash, suffix_dedup
+from . import hash_ring, lang_ecoc, mph_store, packing, pii_crf, sentencepieces, simhash, suffix_dedup
 from .shared import read
 
 
+def op2_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.assign(read(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(read(spark, sf_dir, "documents"))
 
@@ -39,9 +43,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_sentencepiece_nbest, op4_best_fit_packing, op6_pii_semi_crf, op7_mph_token_store, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
+    own = [op2_hash_ring, op3_sentencepiece_nbest, op4_best_fit_packing, op6_pii_semi_crf, op7_mph_token_store, op8_language_id, op9_suffix_array_dedup, op10_simhash_near_duplicates]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_hash_ring": hash_ring.oracle()}
