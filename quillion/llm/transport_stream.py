@@ -15,8 +15,9 @@ All packets of a batch of streams are parsed at once, as a matrix of bytes.
 Defined results of ``demux``:
 
 * Null and empty streams, and bytes without a sync byte, have no row.
-* Bytes outside packets are skipped.  A packet counts if its sync byte is
-  followed by another 188 bytes on, or by the stream's end or less than a packet.
+* Bytes outside packets are skipped.  A packet begins with a sync byte where the
+  packet before it ends; the first, and one behind junk, only where another sync
+  byte is 188 bytes on, or the stream ends less than a packet later.
 * Tables with a wrong checksum are ignored.  Streams without a valid program map
   have no row.  Of several versions of a table the last one counts.
 * Packets with the transport error indicator, and scrambled ones, are dropped
@@ -228,11 +229,14 @@ def packets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         follow[: max(0, n - PACKET)] = own[PACKET:n][: max(0, n - PACKET)] == SYNC
         last = np.arange(len(good)) + 2 * PACKET > n
         good &= follow[: len(good)] | last
-        marks, p, found = np.flatnonzero(good), 0, []
-        while (k := int(np.searchsorted(marks, p))) < len(marks):
-            p = int(marks[k])
+        marks, p, found, locked = np.flatnonzero(good), 0, [], False
+        while p + PACKET <= n:
+            if not (locked and own[p] == SYNC):
+                if (k := int(np.searchsorted(marks, p))) == len(marks):
+                    break
+                p = int(marks[k])
             found.append(a + p)
-            p += PACKET
+            p, locked = p + PACKET, True
         rows.append(np.full(len(found), r))
         places.append(np.array(found, np.int64))
     if not rows:
