@@ -286,7 +286,8 @@ def _region_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("variant")).agg(
         F.collect_list(F.struct("anchor", "at", "n")).alias("_regions")
     )
-    held = docs.join(per_doc, ["doc_id", "variant"]).select("doc_id", "text", "_regions")
+    # the regions of a corpus are too many to broadcast; the plan is the same at every size
+    held = docs.hint("merge").join(per_doc.hint("merge"), ["doc_id", "variant"]).select("doc_id", "text", "_regions")
 
     def run(batches):
         for batch in batches:
@@ -437,7 +438,8 @@ def cut_repeats(docs: DataFrame, **params) -> DataFrame:
         while names[x] in docs.columns:
             names[x] += "_"
     per_doc = per_doc.select(*[F.col(x).alias(names[x]) for x in ("_id", "_variant", "_spans")])
-    joined = docs.join(per_doc, (docs["doc_id"].cast("long") == per_doc[names["_id"]]) & (F.hash(docs["text"]) == per_doc[names["_variant"]]), "left")
+    same = (docs["doc_id"].cast("long") == per_doc[names["_id"]]) & (F.hash(docs["text"]) == per_doc[names["_variant"]])
+    joined = docs.hint("merge").join(per_doc.hint("merge"), same, "left")
     hit, new = F.col(names["_spans"]).isNotNull(), F.col(names["_new"])
     got = joined.withColumn(names["_new"], F.arrow_udf(_cut, "string")(F.when(hit, F.col("text")), F.col(names["_spans"]))).where(~hit | (new != ""))
     out = []
