@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepieces import MODEL, Encoded, _read_model, load
+from .sentencepieces import MODEL, Encoded, _read_model, forget, load
 from .shared import ship
 from .textbytes import buffers, mix, pieces
 
@@ -154,7 +154,7 @@ def make_shard(shard: int, keys: np.ndarray, runs: pa.Array, id_bytes: int) -> d
         "shard": shard, "n_keys": len(own), "n_rows": len(keys), "n_ids": int(size.sum()), "id_bytes": id_bytes,
         "level_bits": index.bits, "levels": index.words.astype("<u8").tobytes(), "ranks": index.ranks.astype("<u4").tobytes(),
         "fingerprints": fingerprints(own[at_slot]).astype("<u4").tobytes(), "offsets": np.r_[0, np.cumsum(length)][:-1].astype("<u8").tobytes(),
-        "lengths": length.astype("<u4").tobytes(), "payload": bytes(payload),
+        "lengths": length.astype("<u4").tobytes(), "payload": payload,
     }
     made = Shard(row)
     row["found"] = int((made.find(own) == slot).sum())
@@ -177,7 +177,7 @@ def _binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, offsets - first
 
 
-def tokenized(docs: DataFrame, model: str | bytes = MODEL, piece_bytes: int = 1 << 22) -> DataFrame:
+def tokenized(docs: DataFrame, model: str | bytes = MODEL, piece_bytes: int = 1 << 21) -> DataFrame:
     """(key, ids): the best segmentation of each row with a key, as raw numbers."""
     ship(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(_read_model(model))  # a vocabulary, not corpus data
@@ -194,6 +194,8 @@ def tokenized(docs: DataFrame, model: str | bytes = MODEL, piece_bytes: int = 1
                     pa.binary(), b - a, [None, pa.py_buffer((got.rows * wide).astype(np.int32)), pa.py_buffer(got.ids.astype(kind).tobytes())]
                 )
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), ids], names=["key", "ids"])
+                del got, ids
+            pa.default_memory_pool().release_unused()
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, "key long, ids binary")
 
@@ -213,6 +215,7 @@ def build(docs: DataFrame, model: str | bytes = MODEL, shard_chars: int = 1 << 2
     id_bytes = 2 if len(load(_read_model(model)).vocabulary.texts) <= 1 << 16 else 4
 
     def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        forget()  # all texts are encoded by now; the shard needs the room
         row = make_shard(key[0].as_py(), table["key"].to_numpy(), table["ids"], id_bytes)
         return pa.Table.from_pylist([row], schema=_ARROW)
 

@@ -436,6 +436,13 @@ def load(model: bytes) -> Memory:
     return _loaded[key]
 
 
+def forget() -> None:
+    """Give back the room of what this process has solved."""
+    for memory in _loaded.values():
+        memory.clear()
+        memory.ways.clear()
+
+
 class Encoded:
     """The best paths of a run of rows, and what the search for others needs."""
 
