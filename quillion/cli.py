@@ -69,7 +69,7 @@ def show(index: SearchIndex, query: str, k: int, template: str | None) -> None:
     for r in rows:
         title = link(r["url"], r["title"], sys.stdout.isatty(), os.environ.get("TERM_PROGRAM", "")) if template else r["title"]
         print(f"{r['rank']:>3}  {r['score']:>10.4f}  {r['id']}  {title}")
-    print(f"{len(rows)} results")
+    print(f"{len(rows)} results; " + ", ".join(f"{k} {v}" for k, v in vars(index.work(query)).items()))
 
 
 def repl(index: SearchIndex, k: int, template: str | None) -> None:

@@ -27,7 +27,7 @@ def answer(index: SearchIndex, target: str) -> tuple[int, dict]:
         return 400, {"error": "k is no whole number"}
     got = index.run(args["q"][0], k)
     rows = [{"id": r["id"], "score": r["score"], "title": r["title"]} for r in got.results]
-    return 200, {"query": got.query, "took_ms": got.took_ms, "docs_total": index.live_count(), "query_terms": len(index.terms_of(got.query)), "results": rows}
+    return 200, {"query": got.query, "took_ms": got.took_ms, **vars(index.work(got.query)), "results": rows}
 
 
 def server(index: SearchIndex, addr: str) -> ThreadingHTTPServer:

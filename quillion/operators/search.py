@@ -48,9 +48,14 @@ def search(index: Index, query: str, k: int = 10) -> DataFrame:
     return top(scored(posted, stats, index.corpus_stats), k).select("rank", "doc_id", "score")
 
 
-def with_titles(index: Index, hits: DataFrame) -> DataFrame:
-    """(rank, id, score, title): the documents of at most k hits are looked up last."""
-    return F.broadcast(hits).join(index.docs.select("doc_id", "id", "title"), "doc_id").select("rank", "id", "score", "title")
+def few(hits: DataFrame, k: int) -> DataFrame:
+    """``hits`` marked for broadcast if k bounds them to a few rows; else Spark goes by their size."""
+    return F.broadcast(hits) if k <= HEAP else hits
+
+
+def with_titles(index: Index, hits: DataFrame, k: int = 10) -> DataFrame:
+    """(rank, id, score, title): the documents of the k hits are looked up last."""
+    return few(hits, k).join(index.docs.select("doc_id", "id", "title"), "doc_id").select("rank", "id", "score", "title")
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10, query: str = "query") -> DataFrame:
@@ -73,3 +78,13 @@ def query_work(index: Index, queries: DataFrame, query: str = "query") -> DataFr
     asked = queries.select("query_id", F.explode_outer(distinct_terms(query, index.remove_stopwords)).alias("term"))
     got = asked.join(index.term_stats.select("term", "df"), "term", "left")
     return got.groupBy("query_id").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("term_postings"))
+
+
+def batch_work(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
+    """(query_id, docs_scored, postings_visited, term_postings) of scoring each query in full."""
+    asked = queries.select("query_id", F.explode(distinct_terms(query, index.remove_stopwords)).alias("term"))
+    met = index.postings.select("term", "doc_id").join(asked, "term").groupBy("query_id").agg(F.count_distinct("doc_id").alias("docs_scored"), F.count("*").alias("postings_visited"))
+    none = F.lit(0)
+    return query_work(index, queries, query).join(met, "query_id", "left").select(
+        "query_id", F.coalesce("docs_scored", none).alias("docs_scored"), F.coalesce("postings_visited", none).alias("postings_visited"), "term_postings"
+    )

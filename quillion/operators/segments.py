@@ -16,8 +16,9 @@ from ..functions import bm25
 from ..functions.text import content_hash
 from ..functions.tokenizer import distinct_terms, query_terms
 from ..sources import tables
-from .index import analyse, documents, postings, term_stats
-from .search import top
+from .index import BLOCK, analyse, documents, postings, term_stats
+from .prune import Counters
+from .search import few, top
 
 KEYS = ["segment", "doc_id"]
 TOMBSTONES = "segment int, doc_id long"
@@ -216,7 +217,7 @@ class SegmentedIndex:
     def search(self, query: str, k: int = 10) -> DataFrame:
         """(rank, id, score, title) of the k best live documents."""
         hits = search(self.postings, self.docs, self.tombstones, query, k, self.manifest["remove_stopwords"])
-        return F.broadcast(hits).join(self.docs.select(*KEYS, "id", "title"), KEYS).select("rank", "id", "score", "title").orderBy("rank")  # at most k rows
+        return few(hits, k).join(self.docs.select(*KEYS, "id", "title"), KEYS).select("rank", "id", "score", "title").orderBy("rank")
 
     def search_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """(query_id, rank, id, score, title) of ``queries(query_id, query)``."""
@@ -229,6 +230,15 @@ class SegmentedIndex:
         best = found.withColumn("rank", rank).where(F.col("rank") <= k)
         return best.join(self.docs.select(*KEYS, "id", "title"), KEYS).select("query_id", "rank", "id", "score", "title")
 
+    def work(self, query: str) -> Counters:
+        """What scoring a query in full looks at: all postings of its terms, and the live documents that have one."""
+        wanted = query_terms(query, self.manifest["remove_stopwords"])
+        own = self.postings.where(F.col("term").isin(*wanted)) if wanted else self.postings.where("false")
+        lists = own.groupBy("segment", "term").agg(F.count("*").alias("n"))
+        seen = lists.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK)), F.lit(0))).first()
+        matches = live(own, self.tombstones).agg(F.count_distinct(*KEYS)).first()[0]
+        return Counters(live_stats(self.docs, self.tombstones).first()["n_docs"], len(wanted), seen[0], matches, seen[1], 0)
+
     def find(self, id: str) -> DataFrame:
         """The live document of an id that a delete would hit."""
         return first_live(self.docs.where(F.col("id") == id), self.tombstones).where("copy = 1").drop("copy")

@@ -407,6 +407,23 @@ def bench_percentiles(spark, sf_dir):
     return percentiles(table(spark, sf_dir, "events"), "value")
 
 
+@query(
+    f"""{BASE}, {_ASKED}, met AS (
+  SELECT query_id, count(DISTINCT doc_id) AS docs, count(*) AS visited FROM asked JOIN postings USING (term) GROUP BY query_id
+), work AS (
+  SELECT item_id, coalesce(docs, 0) AS docs, coalesce(visited, 0) AS visited FROM benchmark LEFT JOIN met ON query_id = item_id
+) SELECT count(*) AS num_queries, round(coalesce(avg(docs / n_docs), 0), 6) AS docs_scored_ratio,
+  round(coalesce(avg(CASE WHEN visited > 0 THEN visited / visited END), 0), 6) AS postings_visited_ratio FROM work, corpus"""
+)
+def bench_work_ratios(spark, sf_dir):
+    from ..operators.report import work_ratios
+
+    index = built(spark, sf_dir)
+    work = search.batch_work(index, benchmark_queries(spark, sf_dir))
+    got = work_ratios(work, index.corpus_stats.first()["n_docs"])
+    return got.withColumns({c: F.round(c, 6) for c in ("docs_scored_ratio", "postings_visited_ratio")})
+
+
 @query(
     f"""{BASE} SELECT id, replace(replace('{URL}', '{{id}}', url_encode(id)), '{{title}}', url_encode(title)) AS url FROM docs"""
 )

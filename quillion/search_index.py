@@ -13,7 +13,7 @@ from .functions.tokenizer import query_terms
 from .operators import prune, reorder
 from .operators import search as ops
 from .operators.index import Index, corpus_stats, term_stats
-from .operators.segments import SegmentedIndex, live_stats
+from .operators.segments import SegmentedIndex
 from .sources.documents import read_jsonl
 
 ORDERS = ("none", "path", "bp")
@@ -86,15 +86,12 @@ class SearchIndex(SegmentedIndex):
         """As ``run`` by a pruned plan, with its counters; for a single clean segment."""
         start, index = time.perf_counter(), self.single()
         hits, counters = prune.search_pruned(index, query, k)
-        rows = ops.with_titles(index, hits).orderBy("rank").collect()  # k rows
+        rows = ops.with_titles(index, hits, k).orderBy("rank").collect()  # k rows
         return Outcome(query, rows, (time.perf_counter() - start) * 1000, counters)
 
     def with_urls(self, results: DataFrame, template: str) -> DataFrame:
         return results.withColumn("url", result_url(template, F.col("id"), F.col("title")))
 
-    def live_count(self) -> int:
-        return live_stats(self.docs, self.tombstones).first()["n_docs"]
-
     def terms_of(self, query: str) -> list[str]:
         return query_terms(query, self.manifest["remove_stopwords"])
 

@@ -94,6 +94,7 @@ def test_http(spark, tmp_path):
     get = lambda p: json.load(urllib.request.urlopen(f"http://127.0.0.1:{httpd.server_port}{p}"))
     body = get("/search?q=w1+w2&k=4")
     assert len(body["results"]) == 4 and body["docs_total"] == 30 and body["query_terms"] == 2
+    assert body["docs_scored"] <= 30 and body["postings_visited"] >= body["docs_scored"] and body["blocks_visited"] == 2 and body["blocks_skipped"] == 0
     assert get("/stats")["num_docs"] == 30
     httpd.shutdown()
     assert http_api.answer(index, "/nothing")[0] == 404 and http_api.answer(index, "/search")[0] == 400 and http_api.answer(index, "/search?q=a&k=x")[0] == 400
