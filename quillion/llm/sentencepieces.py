@@ -489,13 +489,17 @@ class Encoded:
                     for i, j, k in path:
                         ids += [k] if k >= 0 else self.vocabulary.spell(chunk[i:j])
                     found.append((score, np.array(ids, np.int32)))
-                memo[key] = found
+                # of several best paths the one already taken comes first, so that no path comes twice
+                own = self.ids[self.at[c] : self.at[c + 1]]
+                others = [x for x in found if not np.array_equal(x[1], own)]
+                memo[key] = [(found[0][0], own.copy()), *others][:n]
             ways.append(memo[key])
             # a path's own score less the best keeps the numbers those of the whole text
             into.append([(place, score - memo[key][0][0], k) for k, (score, _) in enumerate(memo[key])])
         base = self.ids[self.rows[row] : self.rows[row + 1]]
         out = []
-        for loss, path in n_best(into, n)[1:]:
+        found_paths = [x for x in n_best(into, n) if any(k for _, _, k in x[1])]  # the rest is the path already taken
+        for loss, path in found_paths[: n - 1]:
             parts, at = [], 0
             for (place, _, k), c in zip(path, near):
                 if k:

@@ -50,6 +50,16 @@ def test_all_paths_of_short_texts(seed):
             assert S.written(v, ids, np.array([0, len(ids)]))[0].tobytes() == raw
 
 
+def test_ties_give_no_path_twice():
+    pieces = [b"", b" ", b"a", b"b", b" a", b"ab", b"ba", b" ab"]
+    v = S.Vocabulary(pieces, np.array([0, *[-S.UNIT] * 2, -S.UNIT, *[-2 * S.UNIT] * 3, -3 * S.UNIT]), None, 0)  # all paths score alike
+    for text in (b"abab", b"ab ab ab", b"ab", b"a b"):
+        e = S.Encoded(S.Memory(v), np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        for n in (2, 3, 5):
+            paths = [tuple(e.ids.tolist())] + [tuple(x.tolist()) for _, x in e.others(0, n, {})]
+            assert len(set(paths)) == len(paths) == min(n, brute(v, text.decode(), 99)[1])
+
+
 def test_a_star_meets_paths_in_order():
     v = toy()
     got = S.n_best(v.edges(b" abcabab"), 50)
