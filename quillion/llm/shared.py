@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -14,16 +14,20 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per SparkContext."""
+    """Give the executors this package, once per SparkContext, by way of the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_quillion_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="quillion-ship-")
-    archive = os.path.join(folder, "quillion_src.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(_PACKAGE.rglob("*.py")):
             z.write(path, path.relative_to(_PACKAGE.parent).as_posix())
-    sc.addPyFile(archive)
+    where = f"{shared_dir(spark)}/quillion-{uuid.uuid4().hex}.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(where)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    sc.addPyFile(where)
     sc._quillion_shipped = True
 
 
