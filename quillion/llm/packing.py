@@ -142,8 +142,9 @@ def pack(
         .select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     )
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "part")) - 1
-    # both tables are bounded by the capacities, not by the corpus
-    ranked = salted.withColumn("nth", nth).join(F.broadcast(offset), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the offsets grow with the salts, so Spark goes by their size; both sides lie by length and salt
+    ranked = salted.withColumn("nth", nth).join(offset, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the plan is bounded by the capacities, not by the corpus
     placed = ranked.join(F.broadcast(where), "length").where("rank >= rank_from AND rank < rank_to")
     placed = placed.withColumn("bin_id", F.col("first_bin") + F.expr("(rank - rank_from) div per_bin"))
     fits = F.coalesce(*[F.when(F.col("used") <= c, c) for c in sorted(capacities)])
