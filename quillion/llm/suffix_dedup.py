@@ -348,7 +348,7 @@ def bucket_marks(doc: np.ndarray, at: np.ndarray, text: pa.Array, min_words: int
     return place_doc[begin], place_at[begin], count, first[begin]
 
 
-def marks(docs: DataFrame, min_words: int = 50, k: int = 16, v: int = 31, bucket_words: int = 2_000_000) -> DataFrame:
+def marks(docs: DataFrame, min_words: int = 50, k: int = 16, v: int = 31, bucket_words: int = 250_000) -> DataFrame:
     """(doc_id, variant, start, end, first_doc_id): runs of words in windows that occur earlier; runs may overlap."""
     ship(docs.sparkSession)
     source = _sources(docs)
