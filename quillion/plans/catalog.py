@@ -13,6 +13,8 @@ from ..functions.tokenizer import STOPWORDS, terms
 from ..operators import compression, prune, reorder, search, segments
 from ..operators import index as ix
 from ..sources import documents as sources
+from ..sources import tables
+from ..streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,6 +396,33 @@ def bp_reorder_cost(spark, sf_dir):
     return before.crossJoin(after).crossJoin(check)
 
 
+# ------------------------------------------------------------ sources and streams
+
+
+def as_jsonl(spark, sf_dir) -> str:
+    """A folder with the documents as JSON Lines."""
+    folder = tables.fresh_path(spark, "jsonl")
+    corpus(spark, sf_dir).select("id", "title", "body").write.json(folder)
+    return folder
+
+
+@query(f"{BASE} SELECT id, length(title) AS title_chars, length(body) AS body_chars FROM docs")
+def jsonl_source(spark, sf_dir):
+    got = sources.read_jsonl(spark, as_jsonl(spark, sf_dir))
+    return got.select("id", F.length("title").cast("long").alias("title_chars"), F.length("body").cast("long").alias("body_chars"))
+
+
+@query(ORACLES["corpus_stats"])
+def stream_ingest(spark, sf_dir):
+    """The documents as a stream of files, upserted into an index; its totals."""
+    path = tables.fresh_path(spark, "streamed")
+    ingest(sources.stream_jsonl(spark, as_jsonl(spark, sf_dir)), path, tables.fresh_path(spark, "stream-state")).awaitTermination()
+    index = segments.SegmentedIndex.open(spark, path)
+    stats = segments.live_stats(index.docs, index.tombstones).withColumn("avg_doc_len", F.round("avg_doc_len", 6))
+    held = segments.frequencies(index.postings, index.tombstones).agg(F.count("*").alias("n_terms"), F.sum("df_live").alias("n_postings"))
+    return stats.crossJoin(held)
+
+
 # ---------------------------------------------------------------- reports, links
 
 
