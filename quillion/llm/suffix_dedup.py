@@ -399,7 +399,9 @@ def merged(found: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc_id) of each run of repeated words, end exclusive.
 
-    ``first_doc_id`` is the least document that holds one of its windows earlier.
+    ``first_doc_id`` is a document that holds one of its windows earlier, the least
+    of those found; where a whole region repeats it is the first with that region,
+    though another may hold a part of it still earlier.
     """
     return merged(marks(docs, **params)).select(
         "doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id"
