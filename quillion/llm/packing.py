@@ -8,9 +8,9 @@ Pieces are packed in order of falling length.  Each goes into the open bin with
 the least room that suffices (of equal room, the least bin).  Where none does, a
 bin is opened.  Its size is the permitted length at which the bin, if filled with
 the largest pieces still to come, costs least per word: ``cost`` gives the price
-of a sequence, by default ``sequence_cost``.  The choice is made once
-for all bins that a piece length opens.  Finally each bin takes the least
-permitted length that holds its contents.
+of a sequence, by default ``sequence_cost``.  The choice is made anew for every
+bin; of the bins that a piece length opens, none counts on pieces that an earlier
+one's choice counted on.  Finally each bin takes the least permitted length that holds its contents.
 
 Only the number of pieces of each length matters for where they go, so the plan
 is made on that histogram: at most ``max(capacities)`` numbers, however large the
@@ -49,21 +49,45 @@ def sequence_cost(overhead: int = 64, attention: int = 16384) -> Callable[[int],
     return lambda capacity: overhead + capacity + capacity * capacity / attention
 
 
-def best_capacity(size: int, count: int, smaller: list[int], counts: dict[int, int], capacities: Sequence[int], cost) -> int:
-    """The capacity of least cost per word, filled with the largest pieces that are left; the least of equals."""
-    best, least = None, None
+def _fill(size: int, count: int, room: int, smaller: list[int], counts: dict[int, int]) -> tuple[int, list[tuple[int, int, bool]]]:
+    """Room left in a bin, and the (length, pieces, whether more would fit) that fill it: its own length, then the largest left."""
+    k = min(count, room // size)
+    taken = [(size, k, k < room // size)]
+    room -= k * size
+    end = len(smaller)
+    while room > 0 and (end := bisect.bisect_right(smaller, room, 0, end)) > 0:
+        s = smaller[end - 1]
+        k = min(counts[s], room // s)
+        taken.append((s, k, k < room // s))
+        room -= k * s
+        end -= 1
+    return room, taken
+
+
+def _choose(size: int, count: int, smaller: list[int], counts: dict[int, int], capacities: Sequence[int], cost):
+    """The capacity of least cost per word (the least of equals), what fills it, and what fills each capacity."""
+    best, least, fills = None, None, []
     for c in sorted(x for x in capacities if x >= size):
-        room, k = c, min(count, c // size)
-        room -= k * size
-        end = len(smaller)
-        while room > 0 and (end := bisect.bisect_right(smaller, room, 0, end)) > 0:
-            s = smaller[end - 1]
-            room -= min(counts[s], room // s) * s
-            end -= 1
+        room, taken = _fill(size, count, c, smaller, counts)
+        fills.append(taken)
         price = cost(c) / (c - room)
         if least is None or price < least:
-            best, least = c, price
-    return best
+            best, least = (c, taken), price
+    return *best, fills
+
+
+def best_capacity(size: int, count: int, smaller: list[int], counts: dict[int, int], capacities: Sequence[int], cost) -> int:
+    """The capacity of least cost per word, filled with the largest pieces that are left; the least of equals."""
+    return _choose(size, count, smaller, counts, capacities, cost)[0]
+
+
+def _alike(left: dict[int, int], taken: list[tuple[int, int, bool]], fills: list[list[tuple[int, int, bool]]]) -> int:
+    """How many bins in a row see the same fill at every capacity, if each uses up ``taken``; 1 at least."""
+    need: dict[int, int] = {}
+    for fill in fills:
+        for s, k, short in fill:
+            need[s] = max(need.get(s, 0), left[s] + 1 if short else k)
+    return max(1, min(1 + (left[s] - need[s]) // k for s, k, _ in taken))
 
 
 def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=None) -> list[tuple[int, int, int, int, int]]:
@@ -82,8 +106,9 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=No
             heapq.heappush(open_bins[room], (first, n))
 
     for at in range(len(lengths) - 1, -1, -1):
-        size, rank, choice = lengths[at], 0, None
+        size, rank = lengths[at], 0
         end = counts[size]
+        left: dict[int, int] = {}  # what no bin of this length counts on yet
         while rank < end:
             k = bisect.bisect_left(rooms, size)
             if k < len(rooms):
@@ -92,9 +117,16 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=No
                 if not open_bins[room]:
                     rooms.pop(k)
             else:
-                choice = choice or best_capacity(size, end - rank, lengths[:at], counts, capacities, cost)
-                room = choice
-                first, n = bins, -(-(end - rank) // (room // size))
+                if not left:
+                    smaller = lengths[:at]
+                    left = {x: counts[x] for x in smaller}
+                left[size] = end - rank
+                room, taken, fills = _choose(size, end - rank, smaller, left, capacities, cost)
+                first, n = bins, _alike(left, taken, fills)
+                for x, k, _ in taken[1:]:
+                    left[x] -= n * k
+                    if not left[x]:
+                        smaller.pop(bisect.bisect_left(smaller, x))
                 bins += n
             per = room // size
             full = min(n, (end - rank) // per)

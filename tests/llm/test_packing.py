@@ -61,3 +61,58 @@ def test_every_word_is_in_one_bin(spark, odd, empty):
     starts = sorted((p.part, p.start) for r in got for p in r.pieces if p.doc_id == 6)
     assert starts == [(k, 256 * k) for k in range(len(starts))]
     assert P.pack(empty).count() == 0
+
+
+def naive_anew(lengths, capacities, cost):
+    """Best fit, one piece at a time; each new bin's size is chosen with the pieces that no earlier bin of its length counted on."""
+    left, bins, queue = Counter(), [], sorted(lengths, reverse=True)
+    for at, size in enumerate(queue):
+        if at == 0 or queue[at - 1] != size:
+            left = Counter(lengths)
+        fit = min(((room, k) for k, (room, _) in enumerate(bins) if room >= size), default=None)
+        if fit is None:
+            left[size] = sum(1 for x in queue[at:] if x == size)
+            tried = []
+            for c in capacities:
+                if c >= size:
+                    room, used = c, Counter()
+                    for x in sorted((x for x in left if x <= size), reverse=True):
+                        used[x] = min(left[x], room // x)
+                        room -= used[x] * x
+                    tried.append((cost(c) / (c - room), c, used))
+            _, c, used = min(tried, key=lambda t: t[:2])
+            left.subtract({x: n for x, n in used.items() if x < size})
+            bins.append([c, []])
+            fit = (c, len(bins) - 1)
+        bins[fit[1]][0] -= size
+        bins[fit[1]][1].append(size)
+    return sorted((room + sum(b), sorted(b)) for room, b in bins)
+
+
+def placed_bins(rows):
+    bins: dict[int, list[int]] = {}
+    for size, a, b, first, per in rows:
+        for r in range(a, b):
+            bins.setdefault(first + (r - a) // per, []).append(size)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_chooses_for_every_bin(seed):
+    rng, capacities = random.Random(seed), (8, 16, 32)
+    cost = P.linear_cost(rng.choice([1, 4, 16, 64]))
+    some = [rng.randint(1, 32) for _ in range(rng.randint(1, 8))]
+    lengths = [rng.choice(some) for _ in range(rng.randint(1, 200))]
+    got = placed_bins(P.plan(Counter(lengths), capacities, cost)).values()
+    assert sorted(map(sorted, got)) == [b for _, b in sorted(naive_anew(lengths, capacities, cost), key=lambda x: x[1])]
+
+
+def test_one_filler_serves_one_bin():
+    bins, cost = placed_bins(P.plan({300: 100_000, 212: 1})).values(), P.sequence_cost()
+    spent = sum(cost(min(c for c in P.CAPACITIES if c >= sum(b))) for b in bins)
+    assert sum(map(sum, bins)) == 30_000_212 and spent < 1.29 * 30_000_212
+
+
+def test_pack_counts_on_a_filler_once(spark, docs_of):
+    got = P.pack(docs_of([(k, "w " * 300) for k in range(60)] + [(60, "w " * 212)])).collect()
+    assert sum(P.sequence_cost()(r.capacity) for r in got) < 1.3 * (60 * 300 + 212)
