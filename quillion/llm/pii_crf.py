@@ -12,9 +12,10 @@ Weights are trained here, by maximum likelihood, on sentences made of words from
 a bounded sample of the corpus (``background_rows``), generated private data and
 generated look-alikes (versions, amounts, dates, short numbers).
 
-Only spans with an ASCII digit or ``@`` can be entities; this is part of the
-model.  Everywhere else each token stands outside, so the programme runs over the
-windows that such characters can reach and its result is that of the whole text.
+Only spans with an ASCII digit or ``@``, and spans that start right after a cue and
+its sign (``password = "``), can be entities; this is part of the model.  Everywhere
+else each token stands outside, so the programme runs over the windows that these
+can reach and its result is that of the whole text.
 
 Defined results:
 
@@ -28,6 +29,8 @@ Defined results:
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 import random
 import re
@@ -40,17 +43,26 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 TYPES = ("EMAIL", "PHONE", "CARD", "IP", "SECRET")
-MAX_TOKENS = 14
+MAX_TOKENS = 24
 _TOKEN = re.compile(r"[^\W_]+|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
 _EMAIL = re.compile(r"[^\W_](?:[\w.+-]*\w)?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
-_CUE = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|key|auth|bearer)['\"]?\s*[=:]?\s*['\"]?$")
+_CUES = r"(?:token|secret|password|passwd|pwd|api[_-]?key|key|auth|bearer)"
+_CUE = re.compile(rf"(?i){_CUES}['\"]?\s*([=:]?)\s*['\"]?$")
+_SIGN = r"['\"]?[ \t]{0,3}[=:]"
+_ASSIGNED = re.compile(rf"(?i){_CUES}{_SIGN}[ \t]{{0,3}}['\"]?(?=[^\W_])")
+_CARD_GROUPS = re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}")
+_SEPARATED = re.compile(r"[0-9]+(?:[ -][0-9]+)+")
+_KEY_CHARS = re.compile(r"[A-Za-z0-9_.+/=-]+")
+#: Texts that can hold an entity, for Spark.
+_WORTH = rf"[0-9@]|(?iu:{_CUES}){_SIGN}"
 _PHONE_CHARS = re.compile(r"[0-9()+\-. ]+")
 FEATURES = (
     "bias", "email", "ip", "octets", "digits13-19", "digits16", "luhn", "plus", "paren", "phone chars", "phone digits", "phone groups",
     "one token", "hex", "long", "very long", "mixed", "upper mixed", "cue", "space inside", "odd start", "odd end", "letter beside",
     "digit beside", "joined before", "joined after", "at sign", "digits only", "dots only", "tokens",
+    "card groups", "key", "mixed key", "assigned", "no digit", "key goes on",
 )
 
 
@@ -64,6 +76,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+@functools.lru_cache(1 << 14)
+def _cue(before: str) -> tuple[bool, bool]:
+    """Whether a cue ends the text before a span, and whether with a sign of assignment."""
+    m = _CUE.search(before)
+    return m is not None, m is not None and bool(m[1])
+
+
+def _cued(text: str, a: int, b: int) -> set[int]:
+    """Where values start that follow a cue and its sign, within text[a:b]."""
+    return {m.end() for m in _ASSIGNED.finditer(text, max(0, a - 32), b)}
+
+
 def span_features(text: str, a: int, b: int, tokens: int) -> list[int]:
     """Indices of the features that hold for text[a:b]."""
     span = text[a:b]
@@ -81,12 +105,15 @@ def span_features(text: str, a: int, b: int, tokens: int) -> list[int]:
             f.append(3)
     if plain:
         f.append(27)
+    if plain or _SEPARATED.fullmatch(span):
         if 13 <= digits <= 19:
             f.append(4)
-            if luhn(span):
+            if luhn(span if plain else re.sub("[ -]", "", span)):
                 f.append(6)
         if digits == 16:
             f.append(5)
+        if not plain and _CARD_GROUPS.fullmatch(span):
+            f.append(30)
     if span[0] == "+":
         f.append(7)
     if "(" in span and ")" in span:
@@ -111,12 +138,25 @@ def span_features(text: str, a: int, b: int, tokens: int) -> list[int]:
                 f.append(13)
             if span.upper() == span and span.isascii():
                 f.append(17)
-        if _CUE.search(text[max(0, a - 24) : a]):
-            f.append(18)
     else:
         f.append(29)
+        if _KEY_CHARS.fullmatch(span):
+            f.append(31)
+            if digits and any(c.isalpha() for c in span):
+                f.append(32)
+                if len(span) >= 16:
+                    f.append(14)
+                    if len(span) >= 32:
+                        f.append(15)
         if any(c.isspace() for c in span):
             f.append(19)
+    cue, sign = _cue(text[max(0, a - 24) : a])
+    if cue:
+        f.append(18)
+        if sign:
+            f.append(33)
+    if not digits:
+        f.append(34)
     if not (span[0].isalnum() or span[0] in "+("):
         f.append(20)
     if not span[-1].isalnum():
@@ -130,6 +170,8 @@ def span_features(text: str, a: int, b: int, tokens: int) -> list[int]:
         f.append(24)
     if after and after in "@-." and text[b + 1 : b + 2].isalnum():
         f.append(25)
+    if before and before in "_-./+" and text[max(0, a - 2) : a - 1].isalnum() or after and after in "_-./+" and text[b + 1 : b + 2].isalnum():
+        f.append(35)
     return f
 
 
@@ -142,11 +184,18 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
     reach = MAX_TOKENS - 1
     at = 0
-    while m := _TRIGGER.search(text, at):
+    cued = _cued(text, 0, len(text))
+    starts = sorted(cued)
+    while True:
+        m = _TRIGGER.search(text, at)
+        k = bisect.bisect_left(starts, at)
+        first = min(([m.start()] if m else []) + starts[k : k + 1], default=None)
+        if first is None:
+            break
         width = 160
         while True:  # enough tokens to the left, none cut
-            lo = max(0, m.start() - width)
-            left = tokenize(text, lo, m.start() + 1)
+            lo = max(0, first - width)
+            left = tokenize(text, lo, first + 1)
             if lo > 0:
                 left = left[1:]
             if lo == 0 or len(left) > reach + 1:
@@ -156,14 +205,14 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
         left = left[-(reach + 1) :]
         floor = out[-1][-1][1] if out else 0
         line = [t for t in left if t[0] >= floor]
-        start = line[-1][0] if line else m.start()
+        start = line[-1][0] if line else first
         line = line[:-1]
         rest, last, end = 0, 0, start
         for t in _TOKEN.finditer(text, start):
             line.append(t.span())
             end = t.end()
             rest += 1
-            if _TRIGGER.search(text, *t.span()):
+            if t.start() in cued or _TRIGGER.search(text, *t.span()):
                 last = rest
             if rest - last >= reach:
                 break
@@ -179,6 +228,7 @@ def candidates(text: str, line: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(first token, end token) of the spans that may be entities, by end."""
     hot = [bool(_TRIGGER.search(text, *t)) for t in line]
     blank = [text[a:b].isspace() for a, b in line]
+    cued = _cued(text, line[0][0], line[-1][1] + 1) if line else set()
     total = [0]
     for x in hot:
         total.append(total[-1] + x)
@@ -187,7 +237,7 @@ def candidates(text: str, line: list[tuple[int, int]]) -> list[tuple[int, int]]:
         for j in range(1, len(line) + 1)
         if not blank[j - 1]
         for i in range(max(0, j - MAX_TOKENS), j)
-        if not blank[i] and total[j] > total[i]
+        if not blank[i] and (total[j] > total[i] or line[i][0] in cued)
     ]
 
 
@@ -251,22 +301,40 @@ def _private(rng: random.Random, kind: str, word) -> str:
     if kind == "PHONE":
         return rng.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}"])
     if kind == "CARD":
-        body = rng.choice("3456") + d(14)
-        return next(body + c for c in "0123456789" if luhn(body + c)) if rng.random() < 0.5 else body + d(1)
+        sizes = rng.choice([(4, 4, 4, 4)] * 4 + [(4, 6, 5)])
+        body = rng.choice("3456") + d(sum(sizes) - 2)
+        body = next(body + c for c in "0123456789" if luhn(body + c)) if rng.random() < 0.5 else body + d(1)
+        if sum(sizes) == 16 and rng.random() < 0.5:
+            return body
+        ends = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+        return rng.choice(" -").join(body[x:y] for x, y in zip(ends, ends[1:]))
     if kind == "IP":
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
     h = "".join(rng.choices("0123456789abcdef", k=rng.choice([16, 18, 20, 32, 40, 40, 64])))
     if rng.random() < 0.3:
         return rng.choice(["AKIA", "GHP", "SK"]) + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)) + d(1)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    x = rng.random()
+    if x < 0.2:
+        return rng.choice(["sk_live_", "sk_test_", "pk_live_", "ghp_", "sk-", "xoxb-" + d(11) + "-", "glpat-"]) + some(rng.randint(18, 32)) + d(1)
+    if x < 0.35:
+        return "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 11)) + d(1)
+    if x < 0.5:
+        return ".".join(["eyJ" + some(rng.randint(15, 30)), "eyJ" + "".join(some(rng.randint(8, 20)) + c for c in rng.choice(["", "_", "-", "_-"])) + some(12), some(20) + rng.choice("_-") + some(12)])
     return h[:-2] + "a" + d(1)
 
 
+def _password(rng: random.Random, word) -> str:
+    """A secret without a digit, which only its cue tells."""
+    return rng.choice([word() + word(), "-".join([word(), word(), word()]), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=rng.randint(8, 20)))])
+
+
 def _alike(rng: random.Random, word) -> str:
     d = lambda n: "".join(rng.choices("0123456789", k=n))
     return rng.choice([
         d(1), d(2), d(4), d(6), d(8), d(10), f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)}.{d(1)}.", f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}",
         f"${d(3)}.{d(2)}", f"{d(2)}%", f"v{d(1)}.{d(1)}", f"{d(1)},{d(3)},{d(3)}", f"@{word()}", f"{word()}{d(2)}", f"({d(1)})", f"[{d(2)}]", f"{d(1)}-{d(2)}", f"{d(3)}.{d(3)}", f"{d(3)}.{d(3)}.{d(3)}", f"a@{d(1)}",
-        f"{300 + rng.randint(0, 699)}.{d(3)}.{d(3)}.{d(3)}",
+        f"{300 + rng.randint(0, 699)}.{d(3)}.{d(3)}.{d(3)}", f"{word()}-{d(2)}", f"{word()}_{word()}{d(1)}.txt", f"www.{word()}.com/{word()}/{d(4)}", f"{d(4)} {d(4)}", f"20{d(2)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}",
     ])
 
 
@@ -290,7 +358,9 @@ def training_set(words: list[str], sentences: int = 100, seed: int = 11) -> list
                     form = rng.choice([' {} = "', " {}=", ' {}: "'])
                     lead, quoted = form.format(cue), '"' in form
                     tail = '"' + tail if quoted else tail
-                body = _private(rng, kind, word)
+                    body = _password(rng, word) if rng.random() < 0.25 else _private(rng, kind, word)
+                else:
+                    body = _private(rng, kind, word)
                 text += lead
                 gold.append((len(text), len(text) + len(body), kind))
                 text += body + tail + " "
@@ -416,7 +486,7 @@ def find(docs: DataFrame, model: Model | None = None, **params) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, entity string, score double")
+    return docs.where(F.col("text").rlike(_WORTH)).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, entity string, score double")
 
 
 def masked(text: str, entities: list[tuple[int, int, str, float]]) -> str:
@@ -443,7 +513,7 @@ def mask(docs: DataFrame, model: Model | None = None, **params) -> DataFrame:
     name = "_masked"
     while name in docs.columns:
         name += "_"
-    got = docs.withColumn(name, F.arrow_udf(clean, "string")(F.when(F.col("text").rlike("[0-9@]"), F.col("text"))))
+    got = docs.withColumn(name, F.arrow_udf(clean, "string")(F.when(F.col("text").rlike(_WORTH), F.col("text"))))
     out = []
     for f in docs.schema.fields:
         if f.name == "text":
