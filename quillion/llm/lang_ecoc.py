@@ -18,9 +18,12 @@ Defined results:
   the sample, or when even its nearest codeword is at a loss over ln 2 (worse
   than guessing every bit).
 * Codewords at equal distance: the first language in order, ``ambiguous`` true.
+* Very long texts are read whole, in blocks of 2^18 bytes.
 * Rows with equal ``doc_id`` are classified one by one; a null id stays null.
+  Repeated rows are one row of the sample.
 * Rows without a label take no part in training.  If no row is labelled there is
   no model: ``lang_pred`` is null, nothing is rejected, all is ambiguous.
+* An empty table gives an empty result.
 * Columns other than ``doc_id``, ``text`` and ``lang`` are not looked at.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, ship
+from .shared import free_name, materialize, ship
 from .textbytes import buffers, lowered, pieces
 
 BUCKETS = 1 << 16
@@ -178,18 +181,13 @@ def _classify(model: Model | None, column: pa.Array) -> pa.Array:
 
 
 def _sample(docs: DataFrame, rows_per_lang: int) -> DataFrame:
-    """Of every language the rows of least hash of doc_id, with their texts."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
-        .select("lang", "doc_id")
-        .withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= rows_per_lang)
-        .select("doc_id")
-        .distinct()
-    )
+    """Of every language the rows of least hash of doc_id, with their texts; rows alike in id, language and text are one."""
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "own")
+    key = ["lang", "doc_id", "own"]
+    named = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select("lang", "doc_id", F.xxhash64("text").alias("own"), "text")
+    chosen = named.select(*key).withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows_per_lang).select(*key).distinct()
     # at most rows_per_lang rows a language, so this broadcast does not grow with the corpus
-    held = docs.where("lang IS NOT NULL AND lang <> ''").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    held = named.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("text").alias("text")).drop("own")
     return held.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
 
 
@@ -300,7 +298,5 @@ def identify(docs: DataFrame, text: str | Column = "text", **params) -> DataFram
 def keep_identified(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is not rejected."""
     model = fit(docs, **params)
-    name = "_lang"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_lang")
     return docs.withColumn(name, classifier(model)("text")).where(~F.col(f"{name}.rejected")).drop(name)

@@ -9,8 +9,9 @@ directly.  The dynamic programme over bounded entities picks the segmentation of
 greatest score, boundaries and types at once.
 
 Weights are trained here, by maximum likelihood, on sentences made of words from
-a bounded sample of the corpus (``background_rows``), generated private data and
-generated look-alikes (versions, amounts, dates, short numbers).
+a bounded sample of the corpus (``background_rows`` texts, ``background_words``
+words), generated private data and generated look-alikes (versions, amounts,
+dates, short numbers).
 
 Only spans with an ASCII digit or ``@``, and spans that start right after a cue and
 its sign (``password = "``), can be entities; this is part of the model.  Everywhere
@@ -19,7 +20,8 @@ can reach and its result is that of the whole text.
 
 Defined results:
 
-* Null and empty texts have no entity.
+* Null and empty texts have no entity; an empty table gives an empty result.
+* Very long texts are searched whole, window by window.
 * Offsets count characters; each row gives its own entities, so repeated rows
   repeat them; a null ``doc_id`` stays null.
 * Of segmentations with equal score the one with fewer and later-starting
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship
+from .shared import free_name, ship
 
 TYPES = ("EMAIL", "PHONE", "CARD", "IP", "SECRET")
 MAX_TOKENS = 24
@@ -457,13 +459,23 @@ def train(samples, steps: int = 40, rate: float = 0.3, ridge: float = 2e-3) -> M
     return Model(w, adj)
 
 
-def fit(docs: DataFrame, background_rows: int = 64, sentences: int = 100) -> Model:
-    """Train with words of the ``background_rows`` documents of least hash of doc_id."""
-    got = docs.where("text IS NOT NULL AND doc_id IS NOT NULL AND char_length(text) BETWEEN 200 AND 20000")
-    ids = got.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(background_rows)
-    texts = [r["text"] for r in got.join(F.broadcast(ids), "doc_id", "left_semi").select("text").orderBy("text").limit(4 * background_rows).collect()]
-    words = [w for t in texts for w in t.split() if not _TRIGGER.search(w)]
-    return train(training_set(words if len(words) >= 50 else ["some", "plain", "words", "of", "text,", "and", "more."], sentences))
+def fit(docs: DataFrame, background_rows: int = 64, background_words: int = 20_000, word_chars: int = 64, sentences: int = 100) -> Model:
+    """Train with words of the ``background_rows`` texts of least hash of doc_id, whatever their length.
+
+    Of their words without trigger and of at most ``word_chars`` characters the
+    ``background_words`` of least hash are taken, so the driver gets no more than
+    that; where there are under 50, seven plain words are added.
+    """
+    key = ["doc_id", "own"]
+    named = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text")
+    # background_rows rows at most, and rows alike in id and text are one before they are shuffled
+    chosen = named.select(*key).orderBy(F.xxhash64("doc_id"), *key).limit(background_rows).distinct()
+    texts = named.join(F.broadcast(chosen), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    words = texts.select(*key, F.posexplode(F.split("text", r"\s+")).alias("at", "word"))
+    words = words.where((F.col("word") != "") & (F.char_length("word") <= word_chars) & ~F.col("word").rlike(_TRIGGER.pattern))
+    taken = words.orderBy(F.xxhash64("doc_id", "at"), *key, "at").limit(background_words)
+    found = [r["word"] for r in taken.select("word").collect()]
+    return train(training_set(found if len(found) >= 50 else [*found, "some", "plain", "words", "of", "text,", "and", "more."], sentences))
 
 
 def find(docs: DataFrame, model: Model | None = None, **params) -> DataFrame:
@@ -510,9 +522,7 @@ def mask(docs: DataFrame, model: Model | None = None, **params) -> DataFrame:
             out.append(masked(t, got) if got else None)
         return pa.array(out, pa.string())
 
-    name = "_masked"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_masked")
     got = docs.withColumn(name, F.arrow_udf(clean, "string")(F.when(F.col("text").rlike(_WORTH), F.col("text"))))
     out = []
     for f in docs.schema.fields:

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -34,13 +35,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-    (tests on one machine) a local folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session.  Where that is unset a local
+    folder is made and set, but only under a local master: on a cluster each
+    executor would write to its own disk, so there it is an error.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(sc, "_quillion_dir", None)
+        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="quillion-shared-")
             sc._quillion_dir = where
@@ -48,14 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str, clear: bool = False) -> DataFrame:
+def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: what was computed outlives any executor.
+    This cuts the lineage: what was computed outlives any executor.  The table is
+    deleted when the session's JVM ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
     back._quillion_path = path
     return back
@@ -70,5 +77,20 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores added until no column of ``df`` has it, in whatever case: Spark tells no case apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """An error unless the ids in ``column`` are whole numbers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,12 +1,13 @@
 """Near-duplicate documents by SimHash, compared exactly, tile against tile.
 
-A document's features are its distinct words of at least five bytes, in lower
-case and without punctuation (all its words if fewer than 16 are so long, the
-whole text if it has no word).  Each feature votes on 128 bits, with the weight
-1 + floor(log2(occurrences)), so that a line repeated through a document counts
-for more than a phrase that many documents share.  Documents whose
-fingerprints differ in at most ``radius`` bits are near duplicates; chains of
-them form a group, whose least ``doc_id`` stays.
+A document's features are its distinct words in lower case and without
+punctuation (the whole text if it has no word).  Each feature votes on 128 bits.
+Its weight is 1 + floor(log2(occurrences)), so that a line repeated through a
+document counts for more than a phrase that many documents share; words of at
+least ``least`` bytes count ``long_weight`` times as much as shorter ones, in
+every text alike.  Documents whose fingerprints differ in at most ``radius`` bits
+are near duplicates; chains of them form a group, whose least (``doc_id``, hash of
+the text) stays.
 
 Equal fingerprints are first made one.  The distinct ones are cut by population
 count into stripes; each pair of stripes is one group of rows in one task, where
@@ -21,8 +22,10 @@ Defined results:
 
 * Null and empty texts (white space alone is empty) have no fingerprint and are
   in no group.  Rows with a null ``doc_id`` are in no group either.
-* Rows with equal ``doc_id`` are one document; the least of their fingerprints
-  stands for it.
+* ``doc_id`` may be of any type that can be ordered.
+* Rows alike in ``doc_id`` and text are one document; rows of one ``doc_id`` with
+  different texts are documents of their own.
+* Very long texts are read whole.  An empty table gives an empty result.
 * A bit whose votes are tied is 0.
 * Other columns are not looked at.
 """
@@ -34,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, ship
+from .shared import discard, free_name, materialize, ship
 from .textbytes import _SPACE, buffers, hashes, lowered, mix, pieces, row_of, runs, words
 
 TILE = 4096
 SLAB = 16
 
 
-def _features(raw: np.ndarray, offsets: np.ndarray, least: int, few: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(raw: np.ndarray, offsets: np.ndarray, least: int, long_weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash, weight) of the distinct features, sorted by row."""
     rows = len(offsets) - 1
     low = lowered(raw)
@@ -65,17 +68,15 @@ def _features(raw: np.ndarray, offsets: np.ndarray, least: int, few: int = 16) -
     row, h, long = row[order], h[order], (end - start >= least)[order]
     new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, int)
     times = np.diff(np.r_[new, len(h)])
-    row, h, long = row[new], h[new], long[new]
-    use = long | (np.bincount(row[long], minlength=rows) < few)[row]
-    weight = np.frexp(times[use])[1]  # 1 + floor(log2)
-    return row[use], h[use], weight.astype(np.int32)
+    weight = np.frexp(times)[1] * np.where(long[new], long_weight, 1)  # 1 + floor(log2)
+    return row[new], h[new], weight.astype(np.int32)
 
 
-def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, least: int = 5, long_weight: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) words of fingerprint and the number of features, of each row."""
     rows = len(offsets) - 1
     out, count = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64)
-    row, h, weight = _features(raw, offsets, least)
+    row, h, weight = _features(raw, offsets, least, long_weight)
     if len(h) == 0:
         return out, count
     begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -84,36 +85,37 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, least: int = 5) -> tup
     both = np.stack([h, mix(h ^ np.uint64(0xD6E8FEB86659FD93))], 1)
     step = 1 << 16
     votes = np.zeros((len(begin), 128), np.int32)
+    narrow = weight.astype(np.uint8 if weight.max() < 256 else np.uint16)[:, None]
     for at in range(0, len(h), step):
         end = min(len(h), at + step)
         a = int(np.searchsorted(begin, at, "right")) - 1
         b = int(np.searchsorted(begin, end, "left"))
-        bits = np.unpackbits(both[at:end].view(np.uint8).reshape(-1, 16), axis=1) * weight[at:end, None].astype(np.uint8)
+        bits = np.unpackbits(both[at:end].view(np.uint8).reshape(-1, 16), axis=1) * narrow[at:end]
         votes[a:b] += np.add.reduceat(bits, np.maximum(begin[a:b] - at, 0), axis=0, dtype=np.int32)
     out[row[begin]] = np.packbits(votes * 2 > most[:, None], axis=1).view(np.uint64)
     return out, count
 
 
-def fingerprints(docs: DataFrame, least: int = 5) -> DataFrame:
-    """(doc_id, f0, f1) of each document with an id and a text."""
+def fingerprints(docs: DataFrame, least: int = 5, long_weight: int = 4) -> DataFrame:
+    """(doc_id, own, f0, f1) of each document with an id and a text; ``own`` is a hash of the text."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             raw, offsets = buffers(batch["text"])
             for a, b in pieces(offsets):
-                f, n = fingerprints_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)
+                f, n = fingerprints_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, long_weight)
                 keep = np.flatnonzero(n > 0)
-                f = f.view(np.int64)[keep]
+                f, rows = f.view(np.int64)[keep], pa.array(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a).take(pa.array(keep)), pa.array(f[:, 0]), pa.array(f[:, 1])],
-                    names=["doc_id", "f0", "f1"],
+                    [batch["doc_id"].slice(a, b - a).take(rows), batch["own"].slice(a, b - a).take(rows), pa.array(f[:, 0]), pa.array(f[:, 1])],
+                    names=["doc_id", "own", "f0", "f1"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    got = got.mapInArrow(run, f"doc_id {kind}, f0 long, f1 long")
-    return got.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f")).select("doc_id", "f.f0", "f.f1")
+    got = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text")
+    got = got.mapInArrow(run, f"doc_id {kind}, own long, f0 long, f1 long")
+    return got.groupBy("doc_id", "own").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"))
 
 
 def _within(a: np.ndarray, b: np.ndarray, radius: int, bits: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ def _stripes(distinct: DataFrame, stripes: int, stripe_rows: int, small: int) ->
 
 
 def near_pairs(distinct: DataFrame, radius: int, stripes: int = 8, stripe_rows: int = 1 << 20, small: int = 8192) -> DataFrame:
-    """(a, b): each representative and the least of its local group, b < a, for every pair of stripes."""
+    """(a, b): each of ``distinct(node, f0, f1, pc)`` and the least node of its local group, b < a, for every pair of stripes."""
     spark = distinct.sparkSession
     lo, hi, place = _stripes(distinct, stripes, stripe_rows, small)
     if not lo:
@@ -219,11 +221,11 @@ def near_pairs(distinct: DataFrame, radius: int, stripes: int = 8, stripe_rows:
         F.least("stripe", "other").alias("one"),
         F.greatest("stripe", "other").alias("two"),
         (F.col("stripe") > F.col("other")).cast("int").alias("side"),
-        "rep", "f0", "f1",
+        "node", "f0", "f1",
     )
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node = table["rep"].to_numpy()
+        node = table["node"].to_numpy()
         f = np.stack([table["f0"].to_numpy(), table["f1"].to_numpy()], 1).view(np.uint64)
         side = None if key[0].as_py() == key[1].as_py() else table["side"].to_numpy()
         node, least = components(node, f, side, radius)
@@ -254,33 +256,44 @@ def connect(edges: DataFrame) -> DataFrame:
             return labels.select("node", "least")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 24, least: int = 5, stripes: int = 8, stripe_rows: int = 1 << 20) -> DataFrame:
-    """(doc_id, duplicate_of, group_size): each document that has a near duplicate of lesser id in its group.
-
-    ``duplicate_of`` is the group's least id, the document that stays.
-    """
-    prints = materialize(fingerprints(docs, least), "prints")
-    distinct = prints.groupBy("f0", "f1").agg(F.min("doc_id").cast("long").alias("rep"))
+def _later(docs: DataFrame, radius: int = 24, least: int = 5, long_weight: int = 4, stripes: int = 8, stripe_rows: int = 1 << 20) -> DataFrame:
+    """(doc_id, own, duplicate_of, group_size) of each member of a group but the one that stays."""
+    prints = materialize(fingerprints(docs, least, long_weight), "prints")
+    distinct = prints.select("f0", "f1").distinct().withColumn("node", F.monotonically_increasing_id())
     distinct = materialize(distinct.withColumn("pc", (F.bit_count("f0") + F.bit_count("f1")).cast("int")), "distinct")
     pairs = materialize(near_pairs(distinct, radius, stripes, stripe_rows), "pairs")
-    held = prints.join(distinct.select("f0", "f1", "rep"), ["f0", "f1"]).select("doc_id", "rep")
+    held = prints.join(distinct.select("f0", "f1", "node"), ["f0", "f1"]).select("doc_id", "own", "node")
     if pairs.head(1):
-        roots = connect(pairs)
-        held = held.join(roots, held["rep"] == roots["node"], "left").select("doc_id", F.coalesce("least", "rep").alias("rep"))
-    size = F.count("*").over(Window.partitionBy("rep"))
-    return held.withColumn("group_size", size).where("doc_id <> rep").select("doc_id", F.col("rep").alias("duplicate_of"), "group_size")
+        roots = connect(pairs).withColumnRenamed("node", "at")
+        held = held.join(roots, held["node"] == roots["at"], "left").select("doc_id", "own", F.coalesce("least", "node").alias("node"))
+    held = materialize(held, "members")
+    # aggregates combine within the tasks, so no task holds all members of a large group
+    groups = held.groupBy("node").agg(F.count("*").alias("group_size"), F.min(F.struct("doc_id", "own")).alias("keeper")).where("group_size > 1")
+    later = held.join(groups, "node").where("NOT (doc_id = keeper.doc_id AND own = keeper.own)")
+    return later.select("doc_id", "own", F.col("keeper.doc_id").alias("duplicate_of"), "group_size")
+
+
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, duplicate_of, group_size): each document that has a near duplicate of lesser id in its group.
+
+    ``duplicate_of`` is the group's least id, the document that stays (another
+    text under the same id, where that is the one that stays).
+    """
+    return _later(docs, **params).select("doc_id", "duplicate_of", "group_size")
 
 
 def keep_one_of_each(docs: DataFrame, **params) -> DataFrame:
     """``docs`` without the near duplicates of a kept document, all columns as they are.
 
-    Of rows with equal ``doc_id`` one stays, that of the least text; rows with a
-    null id all stay.
+    Of rows alike in ``doc_id`` and text one stays, that of the least hash of all
+    its columns; rows with a null id all stay, and so do other texts of an id that
+    are no near duplicate themselves.
     """
-    gone = materialize(near_duplicates(docs, **params).select("doc_id"), "gone")
-    name = "_rank"
-    while name in docs.columns:
-        name += "_"
-    kept = docs.hint("merge").join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return kept.withColumn(name, rank).where((F.col(name) == 1) | F.col("doc_id").isNull()).drop(name)
+    own, rank, id, text = (free_name(docs, x) for x in ("_own", "_rank", "_gone_id", "_gone_text"))
+    gone = materialize(_later(docs, **params).select(F.col("doc_id").alias(id), F.col("own").alias(text)), "gone")
+    every = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*every)))
+    one = docs.where("doc_id IS NOT NULL").withColumn(own, F.xxhash64("text")).withColumn(rank, nth).where(F.col(rank) == 1)
+    same = (F.col("doc_id") == F.col(id)) & (F.col(own) == F.col(text))
+    kept = one.hint("merge").join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+    return kept.union(docs.where("doc_id IS NULL"))

@@ -14,16 +14,24 @@ resolved by the precomputed ranks of a difference-cover sample of the bucket's
 own suffixes: for any two positions a shift below ``v`` puts both in the sample.
 Memory is bounded by the bucket, however long the ties.
 
-Before anything is sorted, minimisers that occur once are dropped, and regions
-equal as a whole are settled by their least place; only regions that differ
-about a shared minimiser are sent on as words.
+Before anything is sorted, regions equal as a whole are settled by their least
+place, found by an aggregate that combines within the tasks; minimisers with one
+region are dropped, and only regions that differ about a shared minimiser are
+sent on as words.  A minimiser with more than ``hot_regions`` of them (a line on
+millions of pages, each with other words around it) is in no bucket: its windows
+are hashed (128 bits) and the least place of each hash is found by an aggregate,
+too.  So a bucket has a hard bound, whatever repeats in the corpus.
 
 Defined results:
 
-* Null and empty texts and texts under ``min_words`` words have no passage.
-* Rows with a null ``doc_id`` are left as they are and mark nothing.
+* Null and empty texts and texts under ``min_words`` words have no passage; an
+  empty table gives an empty result.
+* Very long texts are read whole; a passage may be as long as a text.
+* ``doc_id`` must be a whole number.  Rows with a null ``doc_id`` are left as they
+  are and mark nothing.
 * Rows with equal ``doc_id`` and equal text are one document; with other texts
-  each row is its own, in the order of the texts' hashes.
+  each row is its own, in the order of the texts' hashes (64 bits).
+* ``min_words`` under ``k`` is an error.
 * Equal windows in one document count as well: the first stays.
 * Other columns are not looked at.
 """
@@ -37,16 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import free_name, materialize, ship, whole_numbers
 from .textbytes import buffers, hashes, mix, pieces, row_of, string_array, words
 
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 #: Perfect difference covers: period -> residues whose differences are all residues.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 
 
-# ---------------------------------------------------------------- suffix array
-
-
 def shift_table(v: int) -> np.ndarray:
     """[a, b] -> the shift below v that puts residues a and b both into the cover."""
     cover = np.array(COVERS[v])
@@ -190,9 +196,6 @@ def same_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) ->
     return same
 
 
-# ------------------------------------------------------------------ minimisers
-
-
 def regions_of(h: np.ndarray, bounds: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, document, first word, words) of the regions of documents' word hashes.
 
@@ -255,63 +258,82 @@ def _word_table(batch_text, limit: int = 1 << 21):
 
 def _sources(docs: DataFrame) -> DataFrame:
     """(doc_id, variant, text): rows with an id and a text; variant tells rows of one id apart."""
+    whole_numbers(docs, "doc_id")
     got = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("variant"), "text")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("variant"), "text")
 
 
 def _occurrences(docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(anchor, whole, doc_id, at) of every region of the corpus.
-
-    ``whole`` is a hash of the region's words whose last byte is their number;
-    ``at`` has the variant in its upper half, the first word in its lower.
-    """
+    """(anchor, whole, n, doc_id, variant, start) of every region of the corpus; ``whole`` is a hash of its n words."""
 
     def run(batches):
         for batch in batches:
-            variant = batch["variant"].to_numpy().astype(np.int64) << 32
             for a, _, _, _, _, _, h, bounds in _word_table(batch["text"]):
                 anchor, d, start, n = regions_of(h, bounds, min_words, k)
-                whole = (_range_hash(h, bounds[d] + start, n) << np.uint64(8)) | n.astype(np.uint64)
+                whole, rows = _range_hash(h, bounds[d] + start, n), pa.array(a + d)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)),
-                     batch["doc_id"].take(pa.array(a + d)), pa.array(variant[a + d] | start)],
-                    names=["anchor", "whole", "doc_id", "at"],
+                    [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int32)),
+                     batch["doc_id"].take(rows), batch["variant"].take(rows), pa.array(start.astype(np.int32))],
+                    names=["anchor", "whole", "n", "doc_id", "variant", "start"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, whole long, doc_id long, at long")
+    return docs.mapInArrow(run, "anchor long, whole long, n int, doc_id long, variant long, start int")
 
 
 def _region_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc_id, at, words) of the wanted regions; ``words`` is their text."""
-    per_doc = wanted.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("variant")).agg(
-        F.collect_list(F.struct("anchor", "at", "n")).alias("_regions")
-    )
+    """(anchor, hot, doc_id, variant, start, words) of the wanted regions; ``words`` is their text."""
+    per_doc = wanted.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("anchor", "hot", "start", "n")).alias("_regions"))
     # the regions of a corpus are too many to broadcast; the plan is the same at every size
-    held = docs.hint("merge").join(per_doc.hint("merge"), ["doc_id", "variant"]).select("doc_id", "text", "_regions")
+    once = docs.groupBy("doc_id", "variant").agg(F.first("text").alias("text"))
+    held = once.hint("merge").join(per_doc.hint("merge"), ["doc_id", "variant"]).select("doc_id", "variant", "text", "_regions")
 
     def run(batches):
         for batch in batches:
             lists = batch["_regions"]
             flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            anchor, at, n = (flat.field(x).to_numpy() for x in ("anchor", "at", "n"))
+            start, n = (flat.field(x).to_numpy() for x in ("start", "n"))
             for a, b, raw, _, s, e, _, bounds in _word_table(batch["text"]):
-                part = slice(int(ends[a]), int(ends[b]))
+                lo_, hi_ = int(ends[a]), int(ends[b])
+                part = slice(lo_, hi_)
                 row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                first = bounds[row] + (at[part] & 0xFFFFFFFF)
+                first = bounds[row] + start[part]
                 lo, hi = s[first], e[first + n[part] - 1]
                 size = hi - lo
                 off = np.r_[0, np.cumsum(size)]
                 pick = np.arange(off[-1]) + np.repeat(lo - off[:-1], size)
+                rows = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[part]), batch["doc_id"].take(pa.array(a + row)), pa.array(at[part]), string_array(raw[pick], off)],
-                    names=["anchor", "doc_id", "at", "words"],
-                )
+                    [flat.field("anchor").slice(lo_, hi_ - lo_), flat.field("hot").slice(lo_, hi_ - lo_), batch["doc_id"].take(rows), batch["variant"].take(rows),
+                     flat.field("start").slice(lo_, hi_ - lo_), string_array(raw[pick], off)],
+                    names=["anchor", "hot", "doc_id", "variant", "start", "words"],
+                )
+
+    return held.mapInArrow(run, "anchor long, hot boolean, doc_id long, variant long, start int, words string")
 
-    return held.mapInArrow(run, "anchor long, doc_id long, at long, words string")
 
+def _windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """(h0, h1, doc_id, variant, start) of each window of the regions."""
 
-def bucket_marks(doc: np.ndarray, at: np.ndarray, text: pa.Array, min_words: int, v: int) -> tuple[np.ndarray, ...]:
-    """(doc, at, words, first doc) of the runs of windows that occur at an earlier place of the bucket."""
+    def run(batches):
+        for batch in batches:
+            start = batch["start"].to_numpy()
+            for a, _, _, _, _, _, h, bounds in _word_table(batch["words"]):
+                count = np.maximum(np.diff(bounds) - min_words + 1, 0)
+                row = np.repeat(np.arange(len(count)), count)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at, width = bounds[row] + inside, np.full(len(row), min_words)
+                rows = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_range_hash(h, at, width).view(np.int64)), pa.array(_range_hash(mix(h ^ _OTHER), at, width).view(np.int64)),
+                     batch["doc_id"].take(rows), batch["variant"].take(rows), pa.array((start[a + row] + inside).astype(np.int32))],
+                    names=["h0", "h1", "doc_id", "variant", "start"],
+                )
+
+    return texts.select("words", "doc_id", "variant", "start").mapInArrow(run, "h0 long, h1 long, doc_id long, variant long, start int")
+
+
+def bucket_marks(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, text: pa.Array, min_words: int, v: int) -> tuple[np.ndarray, ...]:
+    """(doc, variant, at, words, first doc) of the runs of windows that occur at an earlier place of the bucket."""
     raw, offsets = buffers(text)
     s, e = words(raw, offsets)
     bounds = np.searchsorted(s, offsets)
@@ -328,58 +350,67 @@ def bucket_marks(doc: np.ndarray, at: np.ndarray, text: pa.Array, min_words: int
     order, of, inside = order[full], of[full], inside[full]
     if len(order) < 2:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     padded = np.r_[line, np.zeros(min_words, np.int64)]
     same = same_prefix(padded, order[:-1], order[1:], min_words)
     group = np.r_[0, np.cumsum(~same)]
-    place_doc, place_at = doc[of], at[of] + inside
-    rank = np.lexsort((place_at, place_doc, group))
-    group, place_doc, place_at, of, inside = group[rank], place_doc[rank], place_at[rank], of[rank], inside[rank]
+    place = doc[of], variant[of], at[of] + inside
+    rank = np.lexsort((*place[::-1], group))
+    group, of, inside, (p_doc, p_variant, p_at) = group[rank], of[rank], inside[rank], (x[rank] for x in place)
     lead = np.r_[True, group[1:] != group[:-1]]
     head = np.maximum.accumulate(np.where(lead, np.arange(len(group)), 0))
-    later = (place_doc != place_doc[head]) | (place_at != place_at[head])
-    of, inside, place_doc, place_at, first = of[later], inside[later], place_doc[later], place_at[later], place_doc[head][later]
+    later = (p_doc != p_doc[head]) | (p_variant != p_variant[head]) | (p_at != p_at[head])
+    of, inside, first = of[later], inside[later], p_doc[head][later]
     back = np.lexsort((inside, of))
-    of, inside, place_doc, place_at, first = of[back], inside[back], place_doc[back], place_at[back], first[back]
+    of, inside, first = of[back], inside[back], first[back]
     if len(of) == 0:
-        return of, of, of, of
+        return of, of, of, of, of
     begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1) | (first[1:] != first[:-1])])
     count = np.diff(np.r_[begin, len(of)]) + min_words - 1
-    return place_doc[begin], place_at[begin], count, first[begin]
+    of, inside = of[begin], inside[begin]
+    return doc[of], variant[of], at[of] + inside, count, first[begin]
 
 
-def marks(docs: DataFrame, min_words: int = 50, k: int = 16, v: int = 31, bucket_words: int = 250_000) -> DataFrame:
+PLACE = ("doc_id", "variant", "start")
+
+
+def marks(docs: DataFrame, min_words: int = 50, k: int = 16, v: int = 31, bucket_words: int = 250_000, hot_regions: int = 4096) -> DataFrame:
     """(doc_id, variant, start, end, first_doc_id): runs of words in windows that occur earlier; runs may overlap."""
-    ship(docs.sparkSession)
+    if min_words < k:
+        raise ValueError("min_words must be k at least")
+    spark = docs.sparkSession
+    ship(spark)
     source = _sources(docs)
-    place = Window.partitionBy("anchor", "whole").orderBy("doc_id", "at")
-    every = Window.partitionBy("anchor")
-    seen = (
-        _occurrences(source, min_words, k)
-        .repartition("anchor")
-        .withColumn("nth", F.row_number().over(place))
-        .withColumn("first_doc_id", F.first("doc_id").over(place))
-        .withColumn("first_at", F.first("at").over(place))
-        .withColumn("differ", F.min("whole").over(every) != F.max("whole").over(every))
-        .where("nth > 1 OR differ")
-        .withColumn("n", F.col("whole").bitwiseAND(255).cast("int"))
-    )
-    seen = materialize(seen.select("anchor", "doc_id", "at", "n", "nth", "first_doc_id", "first_at", "differ"), "regions")
-    again = seen.where("nth > 1 AND (doc_id <> first_doc_id OR at <> first_at)").select("doc_id", "at", "n", "first_doc_id")
-    wanted = seen.where("nth = 1 AND differ").select("anchor", "doc_id", "at", "n")
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // bucket_words))
-    texts = _region_texts(source, wanted).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    place = F.struct(*PLACE)
+    seen = materialize(_occurrences(source, min_words, k), "occurrences")
+    regions = seen.groupBy("anchor", "whole").agg(F.first("n").alias("n"), F.min(place).alias("first"), F.count("*").alias("times"))
+    regions = materialize(regions, "regions")
+    # whole regions that occur again: all places but the first
+    again = seen.join(regions.where("times > 1").select("anchor", "whole", "first"), ["anchor", "whole"])
+    again = again.where(place != F.col("first")).select(*PLACE, "n", F.col("first.doc_id").alias("first_doc_id"))
+    # regions that differ about a shared minimiser: the first place of each
+    kinds = regions.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = regions.join(kinds, "anchor").select("anchor", (F.col("kinds") > hot_regions).alias("hot"), "first.*", "n")
+    wanted = materialize(wanted, "wanted")
+    size = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("n"))).alias("cold"), F.max("hot").alias("hot")).first()
+    buckets = max(spark.sparkContext.defaultParallelism, -(-(size["cold"] or 0) // bucket_words))
+    texts = _region_texts(source, wanted)
 
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, at, n, first = bucket_marks(table["doc_id"].to_numpy(), table["at"].to_numpy(), table["words"], min_words, v)
-        return pa.table({"doc_id": doc, "at": at, "n": n.astype(np.int32), "first_doc_id": first})
-
-    found = texts.groupBy("bucket").applyInArrow(sort, "doc_id long, at long, n int, first_doc_id long")
-    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
-    return again.union(found).select(
-        "doc_id", F.shiftright("at", 32).cast("int").alias("variant"), start.alias("start"), (start + F.col("n")).alias("end"), "first_doc_id"
-    )
+        doc, variant, at, n, first = bucket_marks(*(table[x].to_numpy() for x in PLACE), table["words"], min_words, v)
+        return pa.table({"doc_id": doc, "variant": variant, "start": at.astype(np.int32), "n": n.astype(np.int32), "first_doc_id": first})
+
+    if size["hot"]:
+        texts = materialize(texts, "texts")
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
+    cold = texts.where("NOT hot").select(bucket, *PLACE, "words").groupBy("bucket")
+    found = again.union(cold.applyInArrow(sort, "doc_id long, variant long, start int, n int, first_doc_id long"))
+    if size["hot"]:
+        hashed = materialize(_windows(texts.where("hot"), min_words), "windows")
+        least = hashed.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+        later = hashed.join(least, ["h0", "h1"]).where(place != F.col("first"))
+        found = found.union(later.select(*PLACE, F.lit(min_words).alias("n"), F.col("first.doc_id").alias("first_doc_id")))
+    return found.select("doc_id", "variant", "start", (F.col("start") + F.col("n")).alias("end"), "first_doc_id")
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -434,16 +465,12 @@ def cut_repeats(docs: DataFrame, **params) -> DataFrame:
     change.  A document of which nothing is left goes.
     """
     spans = materialize(merged(marks(docs, **params)), "spans")
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    names = {x: x for x in ("_id", "_variant", "_spans", "_new")}
-    for x in names:
-        while names[x] in docs.columns:
-            names[x] += "_"
-    per_doc = per_doc.select(*[F.col(x).alias(names[x]) for x in ("_id", "_variant", "_spans")])
-    same = (docs["doc_id"].cast("long") == per_doc[names["_id"]]) & (F.hash(docs["text"]) == per_doc[names["_variant"]])
+    id, variant, cut, changed = (free_name(docs, x) for x in ("_id", "_variant", "_spans", "_new"))
+    per_doc = spans.groupBy(F.col("doc_id").alias(id), F.col("variant").alias(variant)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    same = (F.col("doc_id") == F.col(id)) & (F.xxhash64("text") == F.col(variant))
     joined = docs.hint("merge").join(per_doc.hint("merge"), same, "left")
-    hit, new = F.col(names["_spans"]).isNotNull(), F.col(names["_new"])
-    got = joined.withColumn(names["_new"], F.arrow_udf(_cut, "string")(F.when(hit, F.col("text")), F.col(names["_spans"]))).where(~hit | (new != ""))
+    hit, new = F.col(cut).isNotNull(), F.col(changed)
+    got = joined.withColumn(changed, F.arrow_udf(_cut, "string")(F.when(hit, F.col("text")), F.col(cut))).where(~hit | (new != ""))
     out = []
     for f in docs.schema.fields:
         if f.name == "text":

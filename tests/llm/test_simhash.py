@@ -66,5 +66,30 @@ def test_odd_rows(odd, empty):
     assert {(r.doc_id, r.duplicate_of) for r in gone} == {(5, 1)}
     kept = H.keep_one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "None", "6", "7", "8", "9"])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "None", "6", "7", "8", "8", "9"])  # 8 has two texts
     assert H.near_duplicates(empty).count() == 0 and H.keep_one_of_each(empty).count() == 0
+
+
+def test_texts_of_one_id_are_documents_of_their_own(docs_of):
+    a, b, c = prose(90, 1), prose(90, 2), prose(90, 3)
+    docs = docs_of([(1, a), (2, a), (2, b), (3, b), (4, c), (4, c)])
+    assert sorted((r.doc_id, r.duplicate_of, r.group_size) for r in H.near_duplicates(docs).collect()) == [(2, 1, 2), (3, 2, 2)]
+    assert sorted((r.doc_id, r.text) for r in H.keep_one_of_each(docs).collect()) == sorted([(1, a), (2, b), (4, c)])
+
+
+def test_ids_of_any_type_and_names_in_any_case(spark, docs_of):
+    docs = docs_of([(1, prose(90, 1)), (2, prose(90, 1)), (3, prose(90, 2))])
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS _RANK", "2 AS _Own", "3 AS _GONE_ID", "4 AS _gone_TEXT")
+    assert [(r.doc_id, r.duplicate_of) for r in H.near_duplicates(named).collect()] == [("d2", "d1")]
+    kept = H.keep_one_of_each(named)
+    assert kept.columns == named.columns
+    assert sorted(tuple(r)[0::2] for r in kept.collect()) == [("d1", 1, 3), ("d3", 1, 3)]
+
+
+def test_short_words_weigh_the_same_in_every_text():
+    """A word more or less changes the fingerprint of near copies little, however many long words they have."""
+    for n in range(10, 24):
+        a = " ".join(["a of the to in"] + [f"longword{k}" for k in range(n)])
+        raw = (a + a + " longwordmore").encode()
+        f, _ = H.fingerprints_of(np.frombuffer(raw, np.uint8), np.array([0, len(a), len(raw)]))
+        assert np.bitwise_count(f[0] ^ f[1]).sum() <= 24

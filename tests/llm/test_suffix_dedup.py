@@ -66,3 +66,42 @@ def test_odd_rows(odd, empty):
     ids = sorted(str(r.doc_id) for r in got.collect())
     assert ids == sorted(["1", "2", "3", "4", "None", "None", "6", "7", "7", "8", "8", "9"])  # 5 repeats 1 as a whole
     assert D.repeated_passages(empty).count() == 0 and D.cut_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_minimisers_give_the_same(docs_of, hot):
+    rng = random.Random(7)
+    line = prose(16, 77)
+    rows = [(d, f"{prose(rng.randint(5, 25), d)} {line} {prose(rng.randint(5, 25), d % 9)}") for d in range(60)]
+    got = {}
+    for r in D.repeated_passages(docs_of(rows), min_words=12, k=4, v=7, hot_regions=hot).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == marks_by_force(rows, 12) and got
+
+
+def test_one_minimiser_of_a_hundred_thousand_rows(spark):
+    """A line of 50 words on every row, with other words about it on each, goes by hashes; buckets stay small."""
+    line = " ".join(f"same{k}" for k in range(50))
+    docs = spark.range(100_000).selectExpr("id AS doc_id", f"concat('before', id, ' {line} after', id) AS text")
+    got = D.repeated_passages(docs)
+    assert got.where("start_word = 1 AND end_word = 51 AND first_doc_id < doc_id").count() == got.count() == 99_999
+
+
+def test_regions_of_any_length(docs_of):
+    """Windows of 200 words make regions of over 255 words."""
+    shared = " ".join(f"w{k}" for k in range(900))
+    rows = [(1, f"a b {shared} c"), (2, f"d {shared} e f"), (3, prose(300, 3))]
+    got = [(r.doc_id, r.start_word, r.end_word) for r in D.repeated_passages(docs_of(rows), min_words=200).collect()]
+    assert got == [(2, 1, 901)]
+    with pytest.raises(ValueError, match="min_words"):
+        D.repeated_passages(docs_of(rows), min_words=8)
+
+
+def test_names_in_any_case_and_ids_that_are_no_numbers(docs_of):
+    passage = prose(60, 1)
+    docs = docs_of([(1, f"one {passage} two"), (2, f"three {passage} four")]).selectExpr("*", "7 AS _SPANS", "8 AS _ID", "9 AS _NEW", "6 AS _Variant")
+    got = D.cut_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r["_SPANS"], r["_ID"], r["_NEW"]) for r in got.collect()) == [(1, 7, 8, 9), (2, 7, 8, 9)]
+    with pytest.raises(TypeError, match="whole number"):
+        D.cut_repeats(docs.withColumn("doc_id", docs.doc_id.cast("string")))
