@@ -1,28 +1,35 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
+"""Best-fit packing of tokenised documents into sequences of several permitted lengths.
 
-Lengths are counted in words (runs without white space) unless ``length`` gives
-another column.  A document longer than the greatest permitted length is cut into
-pieces of that length and a rest; nothing is dropped.
+Lengths are counted in tokens: every text becomes ids of a SentencePiece
+vocabulary (its best segmentation), and the packed rows hold the ids.  A document
+longer than the greatest permitted length is cut, between tokens, into pieces of
+that length and a rest; nothing is dropped, and a document's pieces in order give
+its ids again.
 
 Pieces are packed in order of falling length.  Each goes into the open bin with
 the least room that suffices (of equal room, the least bin).  Where none does, a
 bin is opened.  Its size is the permitted length at which the bin, if filled with
-the largest pieces still to come, costs least per word: ``cost`` gives the price
+the largest pieces still to come, costs least per token: ``cost`` gives the price
 of a sequence, by default ``sequence_cost``.  The choice is made anew for every
 bin; of the bins that a piece length opens, none counts on pieces that an earlier
-one's choice counted on.  Finally each bin takes the least permitted length that holds its contents.
+one's choice counted on.  Finally each bin takes the least permitted length that
+holds its contents.
 
-Only the number of pieces of each length matters for where they go, so the plan
-is made on that histogram: at most ``max(capacities)`` numbers, however large the
-corpus.  It says which ranks of each length go to which bins; the ranks are then
-given to the pieces in parallel, by (length, salt) with offsets.
+Where pieces go depends on the number of pieces of each length alone, so the plan
+is made on that histogram.  Pieces are spread evenly over groups of about
+``group_chars`` bytes of text, whatever their documents' ids, and each group is
+packed by its own histogram in one task: ids are shuffled once, a task's memory is
+bounded, and what groups lose against one histogram of the whole is the unfilled
+rest of a few bins in thousands.
 
 Defined results:
 
-* Null and empty texts have no word and are in no bin.
-* Rows with equal or null ``doc_id`` are packed each for itself.
-* Pieces of equal length are ranked by hash of ``doc_id``, then ``doc_id``, then
-  place; identical rows may change places, which changes nothing.
+* Null and empty texts have no token and are in no bin; an empty table has no bin.
+* Very long texts are cut as above, their pieces spread over the groups.
+* Rows with equal or null ``doc_id`` are packed each for itself; ids may be of any
+  type that can be ordered.
+* Pieces of equal length are ranked by ``doc_id`` (nulls last), place, then ids;
+  identical rows may change places, which changes nothing.
 * Other columns are not looked at.
 """
 
@@ -32,10 +39,14 @@ import bisect
 import heapq
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .sentencepieces import MODEL, Encoded, _read_model, forget, load
+from .shared import ship
+from .textbytes import buffers, mix, pieces
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 
@@ -144,47 +155,92 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=No
     return out
 
 
-def word_count(text: str = "text") -> Column:
-    return F.regexp_count(F.col(text), F.lit(r"\S+"))
-
+def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes = MODEL, piece_bytes: int = 1 << 21) -> DataFrame:
+    """(pack, doc_id, part, start, length, ids): each row's tokens in pieces of at most ``most``, as raw numbers, and the group of each."""
+    ship(docs.sparkSession)
+    proto = docs.sparkSession.sparkContext.broadcast(_read_model(model))  # a vocabulary, not corpus data
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        memory = load(proto.value)
+        number = _number(memory)
+        for batch in batches:
+            raw, offsets = buffers(batch["text"])
+            spread = batch["spread"].to_numpy().view(np.uint64)
+            for a, b in pieces(offsets, piece_bytes):
+                got = Encoded(memory, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total = np.diff(got.rows)
+                parts = -(-total // most)
+                row = np.repeat(np.arange(b - a), parts)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = part * most
+                length = np.minimum(most, total[row] - start)
+                with np.errstate(over="ignore"):
+                    to = mix(spread[a + row] + part.astype(np.uint64)) % np.uint64(groups)
+                at = np.r_[0, np.cumsum(length)] * number.itemsize  # all pieces in turn are all tokens in turn
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(got.ids.astype(number).tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to.astype(np.int32)), batch["doc_id"].take(pa.array(a + row)), pa.array(part.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), ids],
+                    names=["pack", "doc_id", "part", "start", "length", "ids"],
+                )
+                del got, ids
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.where("text <> ''").select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
+    return rows.mapInArrow(run, f"pack int, doc_id {kind}, part int, start long, length int, ids binary")
+
+
+def _number(memory) -> np.dtype:
+    return np.dtype("<u2" if len(memory.vocabulary.texts) <= 1 << 16 else "<u4")
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def pack_group(table: pa.Table, group: int, capacities: Sequence[int], cost, number: np.dtype) -> pa.Table:
+    """The bins of one group of pieces."""
+    table = table.combine_chunks()
+    order = pa.compute.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("ids", "ascending")])
+    length = table["length"].to_numpy()[order.to_numpy()]
+    sizes, first, counts = np.unique(-length, return_index=True, return_counts=True)
+    base = dict(zip((-sizes).tolist(), first.tolist()))
+    to = np.empty(len(length), np.int64)
+    for size, a, b, first_bin, per in plan(dict(zip((-sizes).tolist(), counts.tolist())), capacities, cost):
+        to[base[size] + a : base[size] + b] = first_bin + np.arange(b - a) // per
+    by_bin = np.argsort(to, kind="stable")  # within a bin the lengths fall
+    to, length, held = to[by_bin], length[by_bin], table.take(order.take(pa.array(by_bin)))
+    begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    ends = np.r_[begin, len(to)]
+    used = np.add.reduceat(length, begin) if len(to) else length
+    permitted = np.array(sorted(capacities))
+    column = lambda name: held[name].combine_chunks()
+    ids = np.frombuffer(b"".join(x.as_buffer() for x in column("ids")), number).astype(np.int32)
+    doc_id = column("doc_id")
+    each = pa.StructArray.from_arrays([doc_id, column("part"), column("start"), column("length")], names=["doc_id", "part", "start", "length"])
+    got = pa.table({
+        "bin_id": pa.array((np.int64(group) << 32) + to[begin]), "capacity": pa.array(permitted[np.searchsorted(permitted, used)].astype(np.int32)),
+        "used": pa.array(used.astype(np.int32)), "n_pieces": pa.array(np.diff(ends).astype(np.int32)),
+        "doc_ids": _lists(doc_id, ends), "pieces": _lists(each, ends), "ids": _lists(pa.array(ids), np.r_[0, np.cumsum(used)]),
+    })
+    return pa.Table.from_batches(got.to_batches(max_chunksize=256), got.schema)
+
+
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, model: str | bytes = MODEL, group_chars: int = 1 << 24) -> DataFrame:
+    """(bin_id, capacity, used, n_pieces, doc_ids, pieces, ids): one row for each sequence.
+
+    ``pieces`` is a list of (doc_id, part, start, length) with ``start`` in tokens;
+    ``doc_ids`` has their documents and ``ids`` their tokens, in the same order.
+    ``bin_id`` has the group in its upper half.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // group_chars))
+    number = _number(load(_read_model(model)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-def pack(
-    docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, length: Column | None = None, salt_rows: int = 1 << 20
-) -> DataFrame:
-    """(bin_id, capacity, used, n_pieces, doc_ids, pieces): one row for each sequence.
+    def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        forget()  # all texts are encoded by now; the group needs the room
+        return pack_group(table, key[0].as_py(), capacities, cost, number)
 
-    ``pieces`` is a list of (doc_id, part, start, length) with ``start`` in words;
-    ``doc_ids`` has their documents in the same order.
-    """
-    spark, most = docs.sparkSession, max(capacities)
-    sized = docs.select("doc_id", (length if length is not None else word_count()).cast("long").alias("total")).where("total > 0")
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {most}"))).alias("part")
-    pieces = sized.select("doc_id", "total", part).select(
-        "doc_id", "part", (F.col("part") * most).alias("start"), F.least(F.lit(most), F.col("total") - F.col("part") * most).cast("int").alias("length")
-    )
-    pieces = materialize(pieces, "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max(capacities) rows at most
-    salts = max(1, -(-max(counts.values(), default=0) // salt_rows))
-    rows = plan(counts, capacities, cost)
-    where = spark.createDataFrame(rows, "length int, rank_from long, rank_to long, first_bin long, per_bin long")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    offset = (
-        salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    )
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "part")) - 1
-    # the offsets grow with the salts, so Spark goes by their size; both sides lie by length and salt
-    ranked = salted.withColumn("nth", nth).join(offset, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
-    # the plan is bounded by the capacities, not by the corpus
-    placed = ranked.join(F.broadcast(where), "length").where("rank >= rank_from AND rank < rank_to")
-    placed = placed.withColumn("bin_id", F.col("first_bin") + F.expr("(rank - rank_from) div per_bin"))
-    fits = F.coalesce(*[F.when(F.col("used") <= c, c) for c in sorted(capacities)])
-    return (
-        placed.groupBy("bin_id")
-        .agg(F.sum("length").alias("used"), F.sort_array(F.collect_list(F.struct(F.col("length"), "doc_id", "part", "start")), asc=False).alias("_p"))
-        .select(
-            "bin_id", fits.alias("capacity"), "used", F.size("_p").alias("n_pieces"), F.col("_p.doc_id").alias("doc_ids"),
-            F.transform("_p", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["part"].alias("part"), p["start"].alias("start"), p["length"].alias("length"))).alias("pieces"),
-        )
-    )
+    schema = f"bin_id long, capacity int, used int, n_pieces int, doc_ids array<{kind}>, pieces array<struct<doc_id: {kind}, part: int, start: long, length: int>>, ids array<int>"
+    return tokenized_pieces(docs, max(capacities), groups, model).groupBy("pack").applyInArrow(fill, schema)

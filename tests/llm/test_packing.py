@@ -2,9 +2,9 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillion.llm import packing as P
+from quillion.llm import sentencepieces as S
 
 
 def naive(lengths, capacities, cost):
@@ -46,21 +46,38 @@ def test_new_bin_size_is_the_cheapest():
     assert P.best_capacity(8, 2, [], {8: 2}, (8, 16), linear) == 8
 
 
-def test_every_word_is_in_one_bin(spark, odd, empty):
-    got = P.pack(odd, capacities=(64, 128, 256)).collect()
-    assert all(r.used <= r.capacity and r.used == sum(p.length for p in r.pieces) and len(r.doc_ids) == r.n_pieces for r in got)
-    assert all(not any(c >= r.used for c in (64, 128, 256) if c < r.capacity) for r in got)
-    words = Counter()
-    for r in got:
+def texts_of(spark, bins):
+    """(doc_id, text) of the documents that the bins hold, from their ids; documents have ids of their own."""
+    parts = {}
+    for r in bins:
+        assert len(r.ids) == r.used <= r.capacity and r.used == sum(p.length for p in r.pieces)
+        assert r.n_pieces == len(r.pieces) and r.doc_ids == [p.doc_id for p in r.pieces]
+        at = 0
         for p in r.pieces:
-            words[p.doc_id] += p.length
-    want = Counter()
-    for r in odd.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("n")).collect():
-        want[r.doc_id] += r.n or 0
-    assert words == Counter({k: n for k, n in want.items() if n})
-    starts = sorted((p.part, p.start) for r in got for p in r.pieces if p.doc_id == 6)
-    assert starts == [(k, 256 * k) for k in range(len(starts))]
-    assert P.pack(empty).count() == 0
+            parts.setdefault(p.doc_id, []).append((p.part, p.start, r.ids[at : at + p.length]))
+            at += p.length
+    whole = [(d, [i for *_, x in sorted(ps) for i in x]) for d, ps in parts.items()]
+    for ps in parts.values():
+        ps.sort()
+        assert [k for k, *_ in ps] == list(range(len(ps))) and [a for _, a, _ in ps] == [sum(len(x) for *_, x in ps[:k]) for k in range(len(ps))]
+    return {r.doc_id: r.text for r in S.decode(spark.createDataFrame(whole, "doc_id long, ids array<int>")).collect()}
+
+
+def test_bins_hold_every_token(spark, odd, empty):
+    own = odd.selectExpr("CAST(row_number() OVER (ORDER BY text, source) AS long) AS doc_id", "text", "lang AS PACK", "source AS IDS", "n_chars AS part")
+    for chars in (1 << 24, 50_000):
+        got = P.pack(own, capacities=(64, 128, 256), group_chars=chars).collect()
+        assert all(not any(c >= r.used for c in (64, 128, 256) if c < r.capacity) for r in got)
+        assert len({r.bin_id for r in got}) == len(got) and (len({r.bin_id >> 32 for r in got}) > 1) == (chars == 50_000)
+        assert texts_of(spark, got) == {r.doc_id: r.text for r in own.collect() if r.text}
+    assert P.pack(odd).selectExpr("sum(used)").first()[0] == sum(r.used for r in got)
+    assert P.pack(empty).count() == 0 and P.pack(odd.withColumn("doc_id", odd.doc_id.cast("string"))).count() > 0
+
+
+def test_lengths_are_tokens(spark, docs_of):
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 900
+    got = P.pack(docs_of([(1, chinese), (2, "short")])).collect()
+    assert sum(r.used for r in got) > 5000 and texts_of(spark, got) == {1: chinese, 2: "short"}
 
 
 def naive_anew(lengths, capacities, cost):
@@ -113,6 +130,9 @@ def test_one_filler_serves_one_bin():
     assert sum(map(sum, bins)) == 30_000_212 and spent < 1.29 * 30_000_212
 
 
-def test_pack_counts_on_a_filler_once(spark, docs_of):
-    got = P.pack(docs_of([(k, "w " * 300) for k in range(60)] + [(60, "w " * 212)])).collect()
-    assert sum(P.sequence_cost()(r.capacity) for r in got) < 1.3 * (60 * 300 + 212)
+def test_pack_is_the_plan(spark, docs_of):
+    rng = random.Random(3)
+    docs = docs_of([(k, "a " * rng.randint(1, 700)) for k in range(120)])
+    lengths = [x for r in S.encode(docs, n=1).collect() for x in [64] * (r.n_pieces // 64) + [r.n_pieces % 64] if x]
+    got = P.pack(docs, capacities=(16, 32, 64)).collect()
+    assert sorted(sorted(p.length for p in r.pieces) for r in got) == [b for _, b in sorted(naive_anew(lengths, (16, 32, 64), P.sequence_cost()), key=lambda x: x[1])]

@@ -1,7 +1,7 @@
-from collections import Counter
-
 import corpus_pipeline
 
+from .test_packing import texts_of
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -15,16 +15,12 @@ def test_stages_keep_columns_and_clean_documents(spark):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.7 * counts[0]
     packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
-    words = Counter()
-    for r in packed:
-        for p in r.pieces:
-            words[p.doc_id] += p.length
-    assert words == Counter({r.doc_id: n for r in docs.collect() if (n := len(r.text.split()))})
+    assert texts_of(spark, packed) == {r.doc_id: r.text for r in docs.collect() if r.text}
 
 
 def test_run_is_the_stages_in_turn(spark):
     got = corpus_pipeline.run(spark, SF)
-    assert got.columns == ["bin_id", "capacity", "used", "n_pieces", "doc_ids", "pieces"] and got.count() > 0
+    assert got.columns == ["bin_id", "capacity", "used", "n_pieces", "doc_ids", "pieces", "ids"] and got.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "repeated_passages", "private_data", "packing"]
 
 

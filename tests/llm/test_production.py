@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillion.llm import mph_store, packing, pii_crf, queries, sentencepieces, simhash
 
-from .test_packing import naive
+from .test_packing import naive_anew, texts_of
 from .test_simhash import groups_by_force
 from .test_suffix_dedup import marks_by_force
 
@@ -43,10 +43,12 @@ def test_near_duplicates(spark, docs):
 
 def test_packing(spark, docs):
     lengths = []
-    for r in docs.select(F.regexp_count("text", F.lit(r"\S+")).alias("n")).collect():
-        lengths += [4096] * (r.n // 4096) + ([r.n % 4096] if r.n % 4096 else [])
-    bins = sorted(sorted(p.length for p in r.pieces) for r in queries.op4_best_fit_packing(spark, SF).collect())
-    assert bins == naive(lengths, packing.CAPACITIES, packing.sequence_cost())
+    for r in queries.op3_sentencepiece_nbest(spark, SF).where("rank = 1").collect():
+        lengths += [4096] * (r.n_pieces // 4096) + ([r.n_pieces % 4096] if r.n_pieces % 4096 else [])
+    got = queries.op4_best_fit_packing(spark, SF).collect()
+    bins = sorted(sorted(p.length for p in r.pieces) for r in got)
+    assert bins == sorted(b for _, b in naive_anew(lengths, packing.CAPACITIES, packing.sequence_cost()))
+    assert texts_of(spark, got) == {r.doc_id: r.text for r in docs.collect() if r.text}
 
 
 def test_segmentations(spark, docs):
