@@ -8,21 +8,29 @@ stops when this bound is below its k-th best score, else it reads on to four
 times the depth.  When all but a sixteenth of the block has been met, the rest is
 scored without reading the lists any further.
 
+The dimensions are those of the block's principal axes.  Turning vectors and
+query alike leaves inner products as they are, but a few axes then hold most of
+what tells vectors apart and the bound falls soon.  Vectors without such
+structure gain nothing: most of a block is met before the bound stops a query.
+The answer is exact either way, since candidates are scored by the vectors as
+given.
+
 Queries are handled in tiles: marks of what each has met, and one matrix product
-for what the tile's queries have met anew.  Where vectors have many dimensions
-without structure the bound falls slowly and most of a block is met before it
-stops a query; the answer is exact either way.
+for what the tile's queries have met anew.
 
-Every row is a query against all others.  The rows are cut into blocks of queries
-and blocks of vectors; each pair of blocks is one task, whose k best a query are
-merged.  A row is sent to one task for each block of the other side.
+The queries are the rows whose id is divisible by ``every``.  They are cut into
+waves of about ``wave_bytes``, a bounded table that is sent to all tasks; a wave
+is one scan of all vectors, in blocks of the tasks' own rows (``block_bytes``), and
+only the k best a query and block are shuffled.  No vector is.
 
 Defined results:
 
 * Rows whose id or vector is null, and vectors that are empty or hold a null, NaN
-  or infinity, take no part.
-* Rows with equal id are one vector, the least of theirs.
-* Vectors are compared with those of the same number of dimensions.
+  or infinity, take no part.  An empty table gives an empty result.
+* Ids must be whole numbers.  Rows with equal id are one vector, the least of
+  theirs.
+* Vectors are compared with those of the same number of dimensions, as doubles,
+  however long.
 * Scores are rounded to six decimals; equal scores go by the lesser id.  A vector
   is not its own neighbour.  Where fewer than k others exist, all are given.
 * Other columns are not looked at.
@@ -35,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import materialize, ship, whole_numbers
 
 DECIMALS = 6
 SLACK = 1e-5
@@ -43,13 +51,16 @@ FEW = 1 / 16
 
 
 class Lists:
-    """A block of vectors with its sorted lists."""
+    """A block of vectors with its sorted lists; ``turn`` takes vectors to the principal axes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, np.ascontiguousarray(vectors, np.float32)
+        self.ids, self.exact = ids, np.ascontiguousarray(vectors, np.float64)
+        spread = self.exact / max(1.0, np.abs(self.exact).max(initial=0))
+        self.turn = np.linalg.eigh(spread.T @ spread)[1]
+        self.vectors = self.exact @ self.turn
         self.order = np.argsort(self.vectors.T, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.vectors.T, self.order, 1)
-        self.longest = float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(1)).max(initial=0))
+        self.longest = float(np.sqrt((self.exact**2).sum(1)).max(initial=0))
 
 
 def search(lists: Lists, own_ids: np.ndarray, queries: np.ndarray, k: int, first: int = 64, tile: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,11 +69,12 @@ def search(lists: Lists, own_ids: np.ndarray, queries: np.ndarray, k: int, first
     depth_of = np.zeros(len(queries), np.int64)
     n = len(lists.ids)
     for a in range(0, len(queries), tile):
-        q = np.ascontiguousarray(queries[a : a + tile], np.float32)
-        slack = SLACK * (1 + np.sqrt((q.astype(np.float64) ** 2).sum(1)) * lists.longest)
+        asked = np.ascontiguousarray(queries[a : a + tile], np.float64)
+        q = asked @ lists.turn
+        slack = SLACK * (1 + np.sqrt((asked**2).sum(1)) * lists.longest)
         live = np.arange(len(q))
         seen = np.zeros((len(q), n), bool)
-        score = np.full((len(q), n), -np.inf, np.float32)
+        score = np.full((len(q), n), -np.inf)
         scored = np.zeros(n, bool)
         depth, kth = 0, np.full(len(q), -np.inf)
         mine = lists.ids[None, :] == own_ids[a : a + tile, None]
@@ -96,7 +108,7 @@ def search(lists: Lists, own_ids: np.ndarray, queries: np.ndarray, k: int, first
             done = (bound < kth[live] - slack[live]) | (depth >= n)
             for r, row in zip(live[done], known[done]):
                 at = np.flatnonzero((row >= kth[r] - slack[r]) & (row > -np.inf))
-                exact = np.round((lists.vectors[at].astype(np.float64) * q[r].astype(np.float64)).sum(1), DECIMALS)
+                exact = np.round((lists.exact[at] * asked[r]).sum(1), DECIMALS)
                 best = np.lexsort((lists.ids[at], -exact))[:k]
                 out_q.append(np.full(len(best), a + r))
                 out_x.append(at[best])
@@ -106,44 +118,69 @@ def search(lists: Lists, own_ids: np.ndarray, queries: np.ndarray, k: int, first
     return np.concatenate([z, *out_q]), np.concatenate([z, *out_x]), np.concatenate([z.astype(float), *out_s]) + 0.0, depth_of
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
+def _by_dims(batches: list[pa.RecordBatch]):
+    """(ids, vectors) of the rows of each number of dimensions."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    dims = table["dims"].to_numpy()
+    for d in np.unique(dims):
+        own = table.filter(pa.array(dims == d)).combine_chunks()
+        yield int(d), own["id"].to_numpy(), _matrix(own["v"].combine_chunks())
+
+
 def neighbours(
-    vectors: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", query_rows: int = 4096, block_rows: int = 16384
+    vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", column: str = "embedding", wave_bytes: int = 1 << 25, block_bytes: int = 1 << 24
 ) -> DataFrame:
-    """(<key>, rank, neighbour, score): the ``k`` vectors of greatest inner product with each vector."""
-    ship(vectors.sparkSession)
+    """(<key>, rank, neighbour, score): for each vector whose id is divisible by ``every``, the ``k`` vectors of greatest inner product with it."""
+    spark = vectors.sparkSession
+    ship(spark)
+    whole_numbers(vectors, key)
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     held = (
-        vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
+        vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
         .where(F.col("id").isNotNull() & usable)
         .groupBy("id")
         .agg(F.min("v").alias("v"))
         .withColumn("dims", F.size("v"))
     )
     held = materialize(held, "vectors")
-    n = held.count()
-    parts, blocks = max(1, -(-n // query_rows)), max(1, -(-n // block_rows))
-    spread = F.xxhash64("id")
-    asked = held.withColumn("part", F.pmod(spread, F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kept = held.withColumn("block", F.pmod(F.shiftright(spread, 32), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if len(left) == 0 or len(right) == 0:
-            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        lists = Lists(right["id"].to_numpy(), _matrix(right["v"]))
-        own = left["id"].to_numpy()
-        q, x, s, _ = search(lists, own, _matrix(left["v"]), k)
-        return pa.table({"id": own[q], "neighbour": lists.ids[x], "score": s})
-
-    cells = ["dims", "part", "block"]
-    found = asked.groupBy(*cells).cogroup(kept.groupBy(*cells)).applyInArrow(run, "id long, neighbour long, score double")
+    asked = held.where(F.pmod("id", F.lit(every)) == 0)
+    n, most = asked.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(0))).first()
+    waves = max(1, -(-n * most * 8 // wave_bytes))
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "neighbour", "score")
+    out = spark.createDataFrame([], "id long, neighbour long, score double")
+    for wave in range(waves):
+        # about wave_bytes of queries, whatever the corpus
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).toArrow()
+        sent = spark.sparkContext.broadcast({d: (ids, x) for d, ids, x in _by_dims(mine.to_batches())} if len(mine) else {})
+
+        def run(batches, sent=sent):
+            waiting, size = [], 0
+
+            def compare():
+                for d, ids, x in _by_dims(waiting):
+                    if d in sent.value:
+                        own, q = sent.value[d]
+                        at, to, score, _ = search(Lists(ids, x), own, q, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(ids[to]), pa.array(score)], names=["id", "neighbour", "score"])
+
+            for batch in batches:
+                waiting.append(batch)
+                size += batch.nbytes
+                if size >= block_bytes:
+                    yield from compare()
+                    waiting, size = [], 0
+            if waiting:
+                yield from compare()
+
+        found = held.select("id", "v", "dims").mapInArrow(run, "id long, neighbour long, score double")
+        found = found.withColumn("rank", best).where(F.col("rank") <= k)
+        out = (out.withColumn("rank", F.lit(0)) if wave == 0 else out).unionByName(materialize(found, "wave") if waves > 1 else found)
+    return out.select(F.col("id").alias(key), "rank", "neighbour", "score")
 
 
 ORACLE = """
@@ -153,7 +190,7 @@ WITH v AS (
   GROUP BY vec_id
 ), pairs AS (
   SELECT a.vec_id, b.vec_id AS neighbour, round(list_inner_product(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  FROM v a JOIN v b ON a.vec_id % {every} = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
 )
 SELECT vec_id, rank::INT AS rank, neighbour, score
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour) AS rank FROM pairs)
@@ -161,5 +198,5 @@ WHERE rank <= {k}
 """
 
 
-def oracle(k: int = 10) -> str:
-    return ORACLE.format(k=k)
+def oracle(k: int = 10, every: int = 100) -> str:
+    return ORACLE.format(k=k, every=every)
