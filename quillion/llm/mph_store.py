@@ -14,10 +14,17 @@ payload, and an index of its n keys that needs neither the keys nor a search:
 
 A lookup reads one bit a level (1.6 levels on average), one rank and one slot.
 
+``build`` gives the shards as rows.  ``write`` puts each shard into a file of its
+own, straight from the task that makes it, and ``lookup`` reads from these files
+only the words, slots and payload runs of the keys asked for, by offset: what it
+reads grows with the keys, not with the store.  The number of shards stands in
+``store.json``, which is written last and makes the store valid.
+
 Defined results:
 
-* Rows with a null ``doc_id`` can't be looked up and are in no shard.
-* A null or empty text has the length 0.
+* ``doc_id`` must be a whole number.  Rows with a null ``doc_id`` can't be looked
+  up and are in no shard.
+* A null or empty text has the length 0; very long texts are one run of ids.
 * Rows with equal ``doc_id`` are one key: their ids lie one after the other, in
   the order of the texts' ids, and the key finds them all; ``n_rows`` counts rows.
 * A key that was not stored gives nothing (or, by chance 2**-32, a wrong run).
@@ -27,13 +34,16 @@ Defined results:
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sentencepieces import MODEL, Encoded, _read_model, forget, load
-from .shared import ship
+from .shared import materialize, ship, whole_numbers
 from .textbytes import buffers, mix, pieces
 
 GAMMA = 2.0
@@ -180,6 +190,7 @@ def _binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 def tokenized(docs: DataFrame, model: str | bytes = MODEL, piece_bytes: int = 1 << 21) -> DataFrame:
     """(key, ids): the best segmentation of each row with a key, as raw numbers."""
     ship(docs.sparkSession)
+    whole_numbers(docs, "doc_id")
     proto = docs.sparkSession.sparkContext.broadcast(_read_model(model))  # a vocabulary, not corpus data
 
     def run(batches):
@@ -204,23 +215,137 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
 
+def _sharded(docs: DataFrame, model: str | bytes, shard_chars: int):
+    """(tokenised rows by shard, number of shards, bytes of an id)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-total // shard_chars))
+    id_bytes = 2 if len(load(_read_model(model)).vocabulary.texts) <= 1 << 16 else 4
+    return tokenized(docs, model).withColumn("shard", shard_of(shards)).groupBy("shard"), shards, id_bytes
+
+
 def build(docs: DataFrame, model: str | bytes = MODEL, shard_chars: int = 1 << 24) -> DataFrame:
-    """The store: one row for each shard of about ``shard_chars`` characters of text.
+    """The store: one row for each shard of about ``shard_chars`` bytes of text.
 
     ``found`` counts the keys whose lookup in the finished index gives their own
     slot; it equals ``n_keys``.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
-    id_bytes = 2 if len(load(_read_model(model)).vocabulary.texts) <= 1 << 16 else 4
+    by_shard, _, id_bytes = _sharded(docs, model, shard_chars)
 
     def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         forget()  # all texts are encoded by now; the shard needs the room
         row = make_shard(key[0].as_py(), table["key"].to_numpy(), table["ids"], id_bytes)
         return pa.Table.from_pylist([row], schema=_ARROW)
 
-    got = tokenized(docs, model).withColumn("shard", shard_of(shards))
-    return got.groupBy("shard").applyInArrow(make, _SCHEMA)
+    return by_shard.applyInArrow(make, _SCHEMA)
+
+
+SECTIONS = ("levels", "ranks", "fingerprints", "offsets", "lengths", "payload")
+_HEAD = 1 << 12
+
+
+def _file_of(path: str, shard: int) -> str:
+    return f"{path.rstrip('/')}/shard-{shard:07d}.bin"
+
+
+def _open(where: str):
+    """(file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+
+
+def save_shard(row: dict, path: str) -> int:
+    """Write a shard as a file, whole or not at all, and so again if a task is run again; its bytes.
+
+    The file begins with a JSON header of ``_HEAD`` bytes or a multiple, which says where the sections are.
+    """
+    header = {k: row[k] for k in ("shard", "n_keys", "n_rows", "n_ids", "id_bytes", "level_bits")}
+    size = -(-(len(json.dumps(header)) + 40 * len(SECTIONS) + 64) // _HEAD) * _HEAD
+    at = size
+    for name in SECTIONS:
+        header[name] = [at, len(row[name])]
+        at += len(row[name])
+    header["head"] = size
+    system, own = _open(_file_of(path, row["shard"]))
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    draft = f"{own}.{uuid.uuid4().hex}"
+    with system.open_output_stream(draft) as out:
+        out.write(json.dumps(header).encode().ljust(size))
+        for name in SECTIONS:
+            out.write(row[name])
+    system.move(draft, own)
+    return at
+
+
+class StoredShard:
+    """Keyed access to a shard in its file; ``bytes_read`` counts what was read."""
+
+    def __init__(self, path: str, shard: int):
+        system, own = _open(_file_of(path, shard))
+        self.file, self.bytes_read = system.open_input_file(own), 0
+        head = self._read(0, _HEAD)
+        try:
+            self.header = json.loads(head)
+        except ValueError:  # a longer header; its last field is its size
+            size = _HEAD
+            while True:
+                size *= 2
+                try:
+                    self.header = json.loads(self._read(0, size).rstrip())
+                    break
+                except ValueError:
+                    if size > self.file.size():
+                        raise
+        self.first = np.r_[0, np.cumsum([b // 64 for b in self.header["level_bits"]])].astype(np.int64)
+
+    def _read(self, at: int, n: int) -> bytes:
+        got = self.file.read_at(n, at)
+        self.bytes_read += len(got)
+        return got
+
+    def _item(self, section: str, k: int, kind: str) -> int:
+        width = np.dtype(kind).itemsize
+        return int(np.frombuffer(self._read(self.header[section][0] + k * width, width), kind)[0])
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids that are stored under a key."""
+        own = np.array([key], np.int64).view(np.uint64)
+        for level, size in enumerate(self.header["level_bits"]):
+            at = int(_level_hash(own, level)[0] % np.uint64(size))
+            place, bit = int(self.first[level]) + (at >> 6), at & 63
+            word = self._item("levels", place, "<u8")
+            if word >> bit & 1:
+                slot = self._item("ranks", place, "<u4") + (word & ((1 << bit) - 1)).bit_count()
+                if self._item("fingerprints", slot, "<u4") != int(fingerprints(own)[0]):
+                    return None
+                width = self.header["id_bytes"]
+                start, n = self._item("offsets", slot, "<u8"), self._item("lengths", slot, "<u4")
+                return np.frombuffer(self._read(self.header["payload"][0] + start * width, n * width), f"<u{width}")
+        return None
+
+
+def write(docs: DataFrame, path: str, model: str | bytes = MODEL, shard_chars: int = 1 << 24) -> DataFrame:
+    """Write the store into the folder ``path``, which all executors share; (shard, n_keys, n_rows, n_ids, bytes, found) of each shard.
+
+    ``path`` is a local path or a URI that pyarrow's file systems open.
+    """
+    spark = docs.sparkSession
+    by_shard, shards, id_bytes = _sharded(docs, model, shard_chars)
+
+    def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        forget()
+        row = make_shard(key[0].as_py(), table["key"].to_numpy(), table["ids"], id_bytes)
+        own = {x: row[x] for x in ("shard", "n_keys", "n_rows", "n_ids", "found")} | {"bytes": save_shard(row, path)}
+        return pa.Table.from_pylist([own], schema=pa.schema([("shard", pa.int32()), ("n_keys", pa.int32()), ("n_rows", pa.int32()), ("n_ids", pa.int64()), ("bytes", pa.int64()), ("found", pa.int32())]))
+
+    made = materialize(by_shard.applyInArrow(make, "shard int, n_keys int, n_rows int, n_ids long, bytes long, found int"), "shards")
+    held = [r["shard"] for r in made.select("shard").collect()]  # a number for each shard file
+    system, own = _open(f"{path.rstrip('/')}/store.json")
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(f"{own}.draft") as out:
+        out.write(json.dumps({"shards": shards, "held": sorted(held)}).encode())
+    system.move(f"{own}.draft", own)
+    return made
 
 
 _ARROW = pa.schema(
@@ -230,19 +355,22 @@ _ARROW = pa.schema(
 )
 
 
-def lookup(store: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
-    """(key, ids) of the keys (column ``key``) that are stored; ``shards`` is the store's number of shards."""
-    ship(store.sparkSession)
-
-    def run(key: tuple[pa.Scalar, ...], wanted: pa.Table, held: pa.Table) -> pa.Table:
-        out_keys, out = [], []
-        for row in held.to_pylist():
-            shard, own = Shard(row), wanted["key"].to_numpy()
-            slots = shard.find(own.view(np.uint64))
-            for k in np.flatnonzero(slots >= 0):
-                out_keys.append(int(own[k]))
-                out.append(shard.get(int(own[k])).astype(np.int32))
-        return pa.table({"key": pa.array(out_keys, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    wanted = keys.where("key IS NOT NULL").select(F.col("key").cast("long").alias("key")).withColumn("shard", shard_of(shards))
-    return wanted.groupBy("shard").cogroup(store.groupBy("shard")).applyInArrow(run, "key long, ids array<int>")
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, ids) of the keys (column ``key``) that the store in ``path`` holds; a key asked for twice is given once."""
+    ship(spark)
+    whole_numbers(keys, "key")
+    system, own = _open(f"{path.rstrip('/')}/store.json")
+    with system.open_input_stream(own) as f:
+        meta = json.loads(f.read())
+    held = set(meta["held"])
+
+    def run(key: tuple[pa.Scalar, ...], wanted: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        got = []
+        if shard in held:
+            stored = StoredShard(path, shard)
+            got = [(k, ids.astype(np.int32)) for k in wanted["key"].to_pylist() if (ids := stored.get(k)) is not None]
+        return pa.table({"key": pa.array([k for k, _ in got], pa.int64()), "ids": pa.array([x for _, x in got], pa.list_(pa.int32()))})
+
+    wanted = keys.where("key IS NOT NULL").select(F.col("key").cast("long").alias("key")).distinct().withColumn("shard", shard_of(meta["shards"]))
+    return wanted.groupBy("shard").applyInArrow(run, "key long, ids array<int>")

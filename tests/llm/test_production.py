@@ -68,12 +68,18 @@ def test_segmentations(spark, docs):
         assert [x.score for x in rows[r.doc_id]] == pytest.approx(want)
 
 
-def test_token_store(spark, docs):
-    store = queries.op7_mph_token_store(spark, SF).cache()
-    got = {r.key: r.ids for r in mph_store.lookup(store, docs.select(F.col("doc_id").alias("key")), store.count()).collect()}
+def test_token_store(spark, docs, tmp_path):
+    assert mph_store.write(docs, str(tmp_path)).where("found <> n_keys").count() == 0
+    got = {r.key: r.ids for r in mph_store.lookup(spark, str(tmp_path), docs.select(F.col("doc_id").alias("key"))).collect()}
     best = {r.doc_id: r.ids for r in queries.op3_sentencepiece_nbest(spark, SF).where("rank = 1").collect()}
     assert got == best
-    assert store.where("found <> n_keys").count() == 0
+    # the registered query's rows, read without the index: each payload is the ids of its keys, one after the other, in the order of slots
+    held = []
+    for r in queries.op7_mph_token_store(spark, SF).collect():
+        lengths, offsets, payload = np.frombuffer(r.lengths, "<u4"), np.frombuffer(r.offsets, "<u8"), np.frombuffer(r.payload, "<u2")
+        assert r.found == r.n_keys == len(lengths) and offsets.tolist() == [0, *np.cumsum(lengths)[:-1].tolist()] and len(payload) == r.n_ids
+        held += [tuple(payload[a : a + n].tolist()) for a, n in zip(offsets.tolist(), lengths.tolist())]
+    assert Counter(held) == Counter(tuple(x) for x in best.values())
 
 
 def test_language_of_labelled_documents(spark, docs):
