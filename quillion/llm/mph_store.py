@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sentencepieces import MODEL, Encoded, _read_model, forget, load
-from .shared import materialize, ship, whole_numbers
+from .shared import give_back, materialize, ship, whole_numbers
 from .textbytes import buffers, mix, pieces
 
 GAMMA = 2.0
@@ -207,6 +207,7 @@ def tokenized(docs: DataFrame, model: str | bytes = MODEL, piece_bytes: int = 1
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), ids], names=["key", "ids"])
                 del got, ids
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, "key long, ids binary")
 

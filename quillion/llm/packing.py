@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepieces import MODEL, Encoded, _read_model, forget, load
-from .shared import ship
+from .shared import give_back, ship
 from .textbytes import buffers, mix, pieces
 
 CAPACITIES = (256, 512, 1024, 2048, 4096)
@@ -155,7 +155,7 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=No
     return out
 
 
-def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes = MODEL, piece_bytes: int = 1 << 21) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes = MODEL, piece_bytes: int = 1 << 20) -> DataFrame:
     """(pack, doc_id, part, start, length, ids): each row's tokens in pieces of at most ``most``, as raw numbers, and the group of each."""
     ship(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(_read_model(model))  # a vocabulary, not corpus data
@@ -184,7 +184,9 @@ def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes
                     names=["pack", "doc_id", "part", "start", "length", "ids"],
                 )
                 del got, ids
+            del raw, offsets
             pa.default_memory_pool().release_unused()
+        give_back()
 
     rows = docs.where("text <> ''").select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
     return rows.mapInArrow(run, f"pack int, doc_id {kind}, part int, start long, length int, ids binary")
@@ -240,6 +242,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, mod
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         forget()  # all texts are encoded by now; the group needs the room
+        give_back()
         return pack_group(table, key[0].as_py(), capacities, cost, number)
 
     schema = f"bin_id long, capacity int, used int, n_pieces int, doc_ids array<{kind}>, pieces array<struct<doc_id: {kind}, part: int, start: long, length: int>>, ids array<int>"

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, free_name, materialize, ship
+from .shared import discard, free_name, give_back, materialize, ship
 from .textbytes import _SPACE, buffers, hashes, lowered, mix, pieces, row_of, runs, words
 
 TILE = 4096
@@ -111,6 +111,7 @@ def fingerprints(docs: DataFrame, least: int = 5, long_weight: int = 4) -> DataF
                     [batch["doc_id"].slice(a, b - a).take(rows), batch["own"].slice(a, b - a).take(rows), pa.array(f[:, 0]), pa.array(f[:, 1])],
                     names=["doc_id", "own", "f0", "f1"],
                 )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text")
@@ -230,6 +231,7 @@ def near_pairs(distinct: DataFrame, radius: int, stripes: int = 8, stripe_rows:
         side = None if key[0].as_py() == key[1].as_py() else table["side"].to_numpy()
         node, least = components(node, f, side, radius)
         at = least != node
+        give_back()
         return pa.table({"a": node[at], "b": least[at]})
 
     return both.groupBy("one", "two").applyInArrow(compare, "a long, b long")

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialize, ship, whole_numbers
+from .shared import discard, free_name, give_back, materialize, ship, whole_numbers
 from .textbytes import buffers, hashes, mix, pieces, row_of, string_array, words
 
 _OTHER = np.uint64(0xD1B54A32D192ED03)
@@ -276,6 +276,7 @@ def _occurrences(docs: DataFrame, min_words: int, k: int) -> DataFrame:
                      batch["doc_id"].take(rows), batch["variant"].take(rows), pa.array(start.astype(np.int32))],
                     names=["anchor", "whole", "n", "doc_id", "variant", "start"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "anchor long, whole long, n int, doc_id long, variant long, start int")
 
@@ -387,17 +388,20 @@ def marks(docs: DataFrame, min_words: int = 50, k: int = 16, v: int = 31, bucket
     regions = materialize(regions, "regions")
     # whole regions that occur again: all places but the first
     again = seen.join(regions.where("times > 1").select("anchor", "whole", "first"), ["anchor", "whole"])
-    again = again.where(place != F.col("first")).select(*PLACE, "n", F.col("first.doc_id").alias("first_doc_id"))
+    again = materialize(again.where(place != F.col("first")).select(*PLACE, "n", F.col("first.doc_id").alias("first_doc_id")), "again")
+    discard(seen)
     # regions that differ about a shared minimiser: the first place of each
     kinds = regions.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = regions.join(kinds, "anchor").select("anchor", (F.col("kinds") > hot_regions).alias("hot"), "first.*", "n")
     wanted = materialize(wanted, "wanted")
+    discard(regions)
     size = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("n"))).alias("cold"), F.max("hot").alias("hot")).first()
     buckets = max(spark.sparkContext.defaultParallelism, -(-(size["cold"] or 0) // bucket_words))
     texts = _region_texts(source, wanted)
 
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         doc, variant, at, n, first = bucket_marks(*(table[x].to_numpy() for x in PLACE), table["words"], min_words, v)
+        give_back()
         return pa.table({"doc_id": doc, "variant": variant, "start": at.astype(np.int32), "n": n.astype(np.int32), "first_doc_id": first})
 
     if size["hot"]:
