@@ -181,13 +181,13 @@ def _classify(model: Model | None, column: pa.Array) -> pa.Array:
 
 
 def _sample(docs: DataFrame, rows_per_lang: int) -> DataFrame:
-    """Of every language the rows of least hash of doc_id, with their texts; rows alike in id, language and text are one."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "own")
-    key = ["lang", "doc_id", "own"]
-    named = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select("lang", "doc_id", F.xxhash64("text").alias("own"), "text")
+    """Of every language the rows of least hash of doc_id, with their texts; of rows alike in language and id one, by a hash of the text."""
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    key = ["lang", "doc_id"]
+    named = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> ''").select(*key, "text")
     chosen = named.select(*key).withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows_per_lang).select(*key).distinct()
     # at most rows_per_lang rows a language, so this broadcast does not grow with the corpus
-    held = named.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("text").alias("text")).drop("own")
+    held = named.join(F.broadcast(chosen), key).groupBy(*key).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return held.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
 
 

@@ -466,14 +466,13 @@ def fit(docs: DataFrame, background_rows: int = 64, background_words: int = 20_0
     ``background_words`` of least hash are taken, so the driver gets no more than
     that; where there are under 50, seven plain words are added.
     """
-    key = ["doc_id", "own"]
-    named = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), "text")
-    # background_rows rows at most, and rows alike in id and text are one before they are shuffled
-    chosen = named.select(*key).orderBy(F.xxhash64("doc_id"), *key).limit(background_rows).distinct()
-    texts = named.join(F.broadcast(chosen), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
-    words = texts.select(*key, F.posexplode(F.split("text", r"\s+")).alias("at", "word"))
+    named = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    # background_rows ids at most, and of the rows of one id one text, before anything is shuffled
+    chosen = named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(background_rows).distinct()
+    texts = named.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    words = texts.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("at", "word"))
     words = words.where((F.col("word") != "") & (F.char_length("word") <= word_chars) & ~F.col("word").rlike(_TRIGGER.pattern))
-    taken = words.orderBy(F.xxhash64("doc_id", "at"), *key, "at").limit(background_words)
+    taken = words.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(background_words)
     found = [r["word"] for r in taken.select("word").collect()]
     return train(training_set(found if len(found) >= 50 else [*found, "some", "plain", "words", "of", "text,", "and", "more."], sentences))
 

@@ -20,10 +20,13 @@ probabilities.  They are kept as whole millionths so that sums are exact.
 Defined results:
 
 * A null text has no row.  An empty text has the one segmentation without piece.
+  An empty table gives an empty result; very long texts are encoded whole.
 * A character that is no piece is one edge, ten nats below the least score; it
   becomes its byte pieces, or the unknown piece where the model has none.
-* Texts with fewer than N segmentations give fewer rows.  Paths of equal score
-  may come in either order; ``rank`` counts from 1 without gaps.
+* Texts with fewer than N segmentations give fewer rows; ``rank`` counts from 1
+  without gaps.  Of paths of equal score the first is the one that ends in the
+  shortest last piece, and so back to the front; the others follow in the order in
+  which the search meets them, the same in every run.
 * Repeated rows and equal or null ``doc_id`` are encoded one by one.
 * A literal U+2581 is encoded as bytes, so decoding restores every text.
 * Other columns are not looked at.
@@ -394,7 +397,7 @@ class Memory:
     This saves time alone: results are the same without it.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
         self.vocabulary, self.most = vocabulary, most
         self.ways: dict[tuple[int, bytes], list] = {}  # n best paths of some chunks
         self.clear()

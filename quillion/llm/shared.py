@@ -13,12 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per SparkContext, by way of the shared folder."""
+    """Give the executors this package, once per SparkContext, by way of the shared folder.
+
+    Arrow batches are made smaller too, where the session leaves their size at the
+    default: 10,000 texts at once fill hundreds of MB on both sides.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, "_quillion_shipped", False):
         return
     data = io.BytesIO()
