@@ -17,10 +17,13 @@ SEPARATORS = r"[^\p{IsAlphabetic}\p{N}]+"
 def terms(text: Column | str, remove_stopwords: bool = True) -> Column:
     """The array of terms of a text, in order; a null or empty text has none.
 
-    Letters are lowered one by one, so a capital sigma is never a final one.
+    Letters are lowered one by one, so a capital sigma is never a final one.  The
+    text is lowered before it is split, at once; only a text with a dotted capital I,
+    whose lower case holds a separator, is split first.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda t: F.lower(F.translate(t, "Σ", "σ")))
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    low = lambda t: F.lower(F.when(F.contains(t, F.lit("Σ")), F.replace(t, F.lit("Σ"), F.lit("σ"))).otherwise(t))
+    parts = F.when(F.contains(text, F.lit("İ")), F.transform(F.split(text, SEPARATORS), low)).otherwise(F.split(low(text), SEPARATORS))
     if remove_stopwords:
         return F.filter(parts, lambda t: (t != "") & ~t.isin(*STOPWORDS))
     return F.filter(parts, lambda t: t != "")

@@ -28,6 +28,8 @@ class Index:
     corpus_stats: DataFrame
     remove_stopwords: bool = True
     title_weight: int = 2
+    #: Impacts by ranges of documents, where they are stored.
+    buckets: DataFrame | None = None
 
     def with_tables(self, **tables: DataFrame) -> Index:
         return replace(self, **tables)
@@ -69,16 +71,19 @@ def build(docs: DataFrame, title_weight: int = 2, remove_stopwords: bool = True,
     """
     title_weight = max(1, title_weight)
     analysed = analyse(docs, title_weight, remove_stopwords)
-    held, posted = documents(analysed), postings(analysed)
+    held, posted, buckets = documents(analysed), postings(analysed), None
     if keep:
         held = written(held, "docs")
         posted = written(posted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
     stats = term_stats(posted)
     corpus = corpus_stats(held)
     if keep:
-        stats = written(stats.repartitionByRange("term").sortWithinPartitions("term"), "terms")
+        from .prune import ranges
+
+        by_term = lambda df, what: written(df.repartitionByRange("term").sortWithinPartitions("term"), what)
+        stats, buckets = by_term(stats, "terms"), by_term(ranges(posted), "buckets")
         corpus = written(corpus.coalesce(1), "corpus")
-    return Index(held, posted, stats, corpus, remove_stopwords, title_weight)
+    return Index(held, posted, stats, corpus, remove_stopwords, title_weight, buckets)
 
 
 def numbered(posted: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from .index import Index, bounds
 from .search import HITS, matched, scored, search, top
 
 SLACK = 1e-5
+#: Document ids of a stored range.
+WIDTH = 64
 MAXSCORE_TERMS = 5
 
 
@@ -34,7 +36,7 @@ class Counters:
     blocks_skipped: int
 
 
-def ranges(posted: DataFrame, width: int) -> DataFrame:
+def ranges(posted: DataFrame, width: int = WIDTH) -> DataFrame:
     """(term, bucket, max_tf, min_len, n) of ranges of ``width`` document ids."""
     return posted.groupBy("term", F.expr(f"doc_id div {width}").alias("bucket")).agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").alias("n"))
 
@@ -45,13 +47,19 @@ def _usable(index: Index, wanted: list[str]) -> bool:
     return low is None or low >= 0
 
 
-def search_ranges(index: Index, query: str, k: int = 10, width: int = 64, first: int = 8) -> tuple[DataFrame, Counters | None]:
-    """(hits, counters) by bounds of document ranges: the ``first`` best ranges give the threshold."""
+def search_ranges(index: Index, query: str, k: int = 10, width: int = WIDTH, first: int = 8, counted: bool = True) -> tuple[DataFrame, Counters | None]:
+    """(hits, counters) by bounds of document ranges: the ``first`` best ranges give the threshold.
+
+    Bounds come from the index's stored ranges, if it has them of this width, else
+    from the postings.  Counting the work is a query of its own and left out
+    without ``counted``; postings that were read for bounds count as visited.
+    """
     wanted = query_terms(query, index.remove_stopwords)
     if k <= 0 or not wanted or not _usable(index, wanted):
         return search(index, query, k), None
     posted, stats = matched(index, wanted)
-    each = bounds(ranges(posted, width), stats, index.corpus_stats)
+    stored = index.buckets is not None and width == WIDTH
+    each = bounds(index.buckets.where(F.col("term").isin(*wanted)) if stored else ranges(posted, width), stats, index.corpus_stats)
     upper = each.groupBy("bucket").agg(F.sum("bound").alias("upper"), F.count("*").alias("pairs"))
     placed = posted.withColumn("bucket", F.expr(f"doc_id div {width}"))
     best = upper.orderBy(F.desc("upper"), "bucket").limit(first)
@@ -61,9 +69,12 @@ def search_ranges(index: Index, query: str, k: int = 10, width: int = 64, first:
     live = upper.where(F.col("upper") >= threshold)
     kept = placed.join(live.select("bucket"), "bucket", "left_semi")
     scores = scored(kept, stats, index.corpus_stats)
+    if not counted:
+        return top(scores, k).select("rank", "doc_id", "score"), None
     count = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    read = 0 if stored else posted.count()
     pairs = upper.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("upper") >= threshold, F.col("pairs"))), F.lit(0))).first()
-    counters = Counters(index.corpus_stats.first()["n_docs"], len(wanted), count[0], count[1], pairs[1], pairs[0] - pairs[1])
+    counters = Counters(index.corpus_stats.first()["n_docs"], len(wanted), read + count[0], count[1], pairs[1], pairs[0] - pairs[1])
     return top(scores, k).select("rank", "doc_id", "score"), counters
 
 
@@ -77,7 +88,7 @@ def essential(weights: list[tuple[str, float]], threshold: float) -> list[str]:
     return out
 
 
-def search_essential(index: Index, query: str, k: int = 10) -> tuple[DataFrame, Counters | None]:
+def search_essential(index: Index, query: str, k: int = 10, counted: bool = True) -> tuple[DataFrame, Counters | None]:
     """(hits, counters) by bounds of terms: documents without an essential term are not scored.
 
     The term of greatest bound gives the threshold.
@@ -100,6 +111,8 @@ def search_essential(index: Index, query: str, k: int = 10) -> tuple[DataFrame,
         # whole documents: their postings of the other terms are kept as well
         has = F.max(F.col("term").isin(*needed)).over(Window.partitionBy("doc_id"))
         kept = posted.withColumn("_has", has).where("_has").drop("_has")
+    if not counted:
+        return top(scored(kept, stats, index.corpus_stats), k).select("rank", "doc_id", "score"), None
     count = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
     counters = Counters(index.corpus_stats.first()["n_docs"], len(wanted), count[0], count[1], len(needed), len(listed) - len(needed))
     return top(scored(kept, stats, index.corpus_stats), k).select("rank", "doc_id", "score"), counters

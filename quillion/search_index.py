@@ -12,7 +12,7 @@ from .functions.text import result_url
 from .functions.tokenizer import query_terms
 from .operators import prune, reorder
 from .operators import search as ops
-from .operators.index import Index, corpus_stats, term_stats
+from .operators.index import Index
 from .operators.segments import SegmentedIndex
 from .sources.documents import read_jsonl
 
@@ -52,29 +52,19 @@ class SearchIndex(SegmentedIndex):
 
     def _reorder(self, order: str) -> None:
         """Write the only segment again under new document ids."""
-        number, docs, posted = self.manifest["next"], self.docs, self.postings
+        docs, posted = self.docs, self.postings
         if order == "path":
             ids = reorder.by_path(docs.select("doc_id", "id")).select("doc_id", "new_id")
         else:
             ids = reorder.bisection(posted, docs)
-        base = f"{self.path}/seg-{number:06d}"
-        moved = reorder.renumber(docs, ids).withColumn("segment", F.lit(number))
-        moved.select(*docs.columns).write.mode("overwrite").parquet(f"{base}/docs")
-        lists = reorder.renumber(posted, ids).withColumn("segment", F.lit(number)).select(*posted.columns)
-        lists.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{base}/postings")
-        old = self.manifest["segments"]
-        self._commit(self.manifest | {"next": number + 1, "segments": [number]})
-        from .sources.tables import remove
-
-        for n in old:
-            remove(self.spark, f"{self.path}/seg-{n:06d}")
+        self._only(reorder.renumber(docs, ids), reorder.renumber(posted, ids))
 
     def single(self) -> Index:
         """The tables of an index of one clean segment, for the plans over single indexes."""
-        if len(self.manifest["segments"]) != 1 or (self.manifest["tombstones"] and self.tombstones.head(1)):
+        if len(self.manifest["segments"]) != 1 or self._dead():
             raise ValueError("merge the segments first")
-        docs, posted = self.docs.drop("segment"), self.postings.drop("segment")
-        return Index(docs, posted, term_stats(posted), corpus_stats(docs), self.manifest["remove_stopwords"], self.manifest["title_weight"])
+        docs, posted, terms, buckets = (x.drop("segment") for x in (self.docs, self.postings, self.terms, self.buckets))
+        return Index(docs, posted, terms, self.corpus, self.manifest["remove_stopwords"], self.manifest["title_weight"], buckets)
 
     def run(self, query: str, k: int = 10) -> Outcome:
         """Search and fetch the results."""

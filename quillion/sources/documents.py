@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,8 @@ def parse_jsonl(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def stream_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the documents in files that arrive in a folder."""
-    return spark.readStream.schema(DOCUMENT).option("mode", "FAILFAST").json(path)
+    """A stream of the documents in files that arrive in a folder; as in ``read_jsonl`` a broken or incomplete line is an error."""
+    return require_fields(spark.readStream.schema(DOCUMENT).option("mode", "FAILFAST").json(path))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -75,16 +75,16 @@ TEXT_EXTENSIONS = tuple(
 )
 SKIPPED_FOLDERS = tuple(
     "node_modules bower_components site-packages __pycache__ venv .venv target dist Library Applications Movies Music Pictures Public "
-    ".git .hg .svn .cache .cargo .rustup .npm .nvm .conda .pyenv .gem .cpan .ivy2 .m2 .docker .vscode .Trash".split()
+    ".git .hg .svn .gradle .cache .cargo .rustup .npm .nvm .conda .pyenv .gem .cpan .ivy2 .m2 .docker .vscode .Trash".split()
 )
 
 
-def read_folder(spark: SparkSession, root: str, max_bytes: int = 200_000, max_chars: int = 20_000, limit: int | None = 150_000) -> DataFrame:
+def read_folder(spark: SparkSession, root: str, max_bytes: int | None = None, max_chars: int | None = None, limit: int | None = None) -> DataFrame:
     """(id, title, body) of the text files under a folder: path, path within the folder, text.
 
-    Files over ``max_bytes``, of other kinds, in folders of tools, that are no
-    UTF-8 or blank are left out; longer texts are cut.  ``limit`` documents in
-    order of path are taken.
+    Files of other kinds, in folders of tools, that are no UTF-8 or blank are left
+    out.  Nothing is cut unless asked for: files over ``max_bytes`` are left out
+    then, texts cut to ``max_chars``, and ``limit`` documents in order of path taken.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -93,8 +93,8 @@ def read_folder(spark: SparkSession, root: str, max_bytes: int = 200_000, max_ch
     parts = F.split(inner, "/")
     kind = F.lower(F.regexp_extract(F.element_at(parts, -1), r".\.([^.]+)$", 1))
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    found = files.where((F.col("length") <= max_bytes) & kind.isin(*TEXT_EXTENSIONS) & ~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED_FOLDERS))))
-    docs = found.select(path.alias("id"), inner.alias("title"), F.substring(text, 1, max_chars).alias("body")).where(F.col("body").isNotNull() & F.col("body").rlike(r"\S"))
+    found = files.where((F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)) & kind.isin(*TEXT_EXTENSIONS) & ~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED_FOLDERS))))
+    docs = found.select(path.alias("id"), inner.alias("title"), (F.substring(text, 1, max_chars) if max_chars is not None else text).alias("body")).where(F.col("body").isNotNull() & F.col("body").rlike(r"\S"))
     return docs.orderBy("id").limit(limit) if limit is not None else docs
 
 
@@ -120,7 +120,3 @@ def from_text_table(table: DataFrame, id: str = "doc_id", text: str = "text") ->
     return table.select(
         F.col(id).cast("long").alias("doc_id"), F.col(id).cast("string").alias("id"), F.substring_index(F.coalesce(text, F.lit("")), "\n", 1).alias("title"), F.coalesce(body, F.lit("")).alias("body")
     )
-
-
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)

@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, a local folder, which becomes the checkpoint folder."""
+    """``spark.checkpoint.dir``; where it is unset, and the master local, a local folder, which becomes the checkpoint folder."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(sc, "_quillion_folder", None)
+        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if where is None:
             where = "file://" + tempfile.mkdtemp(prefix="quillion-")
             sc._quillion_folder = where
@@ -27,30 +29,39 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet and read again: its lineage is cut, and it outlives any executor."""
+    """``df`` written as Parquet and read again: its lineage is cut, and it outlives any executor, but not the session."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    fs, at = path_of(df.sparkSession, path)
+    fs.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, least: int = 1 << 23) -> DataFrame:
+    """``df`` over all cores, if it is so small that its files may not be: under ``least`` bytes a core, by Spark's statistics.
+
+    A small file of one row group is one task, whatever follows; larger tables come
+    in tasks enough and are left as they are, since this shuffles the rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < least * cores else df
+
+
 def dense_ids(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:
     """``df`` with whole numbers from ``start`` in the given order, without a window over all rows.
 
     Rows are range-partitioned and sorted, numbered within their partition, and
-    moved by the counts of the partitions before (one number a partition is
-    collected).
+    moved by the counts of the partitions before (a table with a row for each
+    partition, joined by Spark's size check).
     """
     plan = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     held = written(plan.withColumn("_mark", F.monotonically_increasing_id()), "numbered")
     part, row = F.shiftright("_mark", 33), F.col("_mark").bitwiseAND((1 << 33) - 1)
-    counts = held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    at, before = start, []
-    for r in sorted(counts, key=lambda r: r["part"]):
-        before += [F.lit(r["part"]), F.lit(at)]
-        at += r["n"]
-    if not before:
-        return held.withColumn(name, F.lit(0).cast("long")).drop("_mark")
-    return held.withColumn(name, (F.create_map(*before)[part] + row).cast("long")).drop("_mark")
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = held.withColumn("_part", part).join(offsets, "_part")
+    return placed.withColumn(name, (F.lit(start) + F.col("_before") + row).cast("long")).drop("_mark", "_part", "_before")
 
 
 def path_of(spark: SparkSession, path: str):
@@ -84,14 +95,19 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under another name first, so that readers see the old or the new one, whole."""
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it isn't there."""
+    fs, at = path_of(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file, whole or not at all; an error if it is there already."""
     fs, at = path_of(spark, path)
     _, draft = path_of(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(draft, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(draft, at):
-        raise OSError(f"can't rename to {path}")
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(f"{path} is there already: another writer was first")

@@ -195,7 +195,9 @@ def test_reordering(spark):
     index = ix.build(frame(spark, docs), 1, remove_stopwords=False)
     cost = lambda p: reorder.log_gap_cost(p).agg(F.sum("cost")).first()[0]
     before = cost(index.postings)
-    for order in (reorder.by_path(index.docs).select("doc_id", "new_id"), reorder.bisection(index.postings, index.docs)):
+    by_tasks, by_jobs = reorder.bisection(index.postings, index.docs), reorder.bisection(index.postings, index.docs, local_docs=40)
+    assert sorted(map(tuple, by_tasks.collect())) == sorted(map(tuple, by_jobs.collect()))  # large parts go by jobs, with the same swaps
+    for order in (reorder.by_path(index.docs).select("doc_id", "new_id"), by_tasks):
         order = order.cache()
         assert sorted(r.new_id for r in order.collect()) == list(range(160))
         moved = index.with_tables(docs=reorder.renumber(index.docs, order), postings=reorder.renumber(index.postings, order))
@@ -204,6 +206,20 @@ def test_reordering(spark):
         assert [s for s, _ in got] == [s for s, _ in want]
 
 
+def test_log_gap_cost_over_ranges(rand, monkeypatch):
+    _, index = rand
+    whole = {r.term: r.cost for r in reorder.log_gap_cost(index.postings).collect()}
+    monkeypatch.setattr(ix, "RANGE", 16)
+    assert {r.term: pytest.approx(r.cost) for r in reorder.log_gap_cost(index.postings).collect()} == whole
+    ids = sorted(r.doc_id for r in index.postings.where("term = 'w7'").collect())
+    assert whole["w7"] == pytest.approx(sum(math.log2(b - a) for a, b in zip(ids, ids[1:])))
+
+
+def test_small_tables_use_all_cores(spark):
+    assert tables.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert tables.spread(spark.range(10).coalesce(1), least=1).rdd.getNumPartitions() == 1
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     got = tables.dense_ids(df, [F.desc("x")], "n", 5).collect()

@@ -137,3 +137,52 @@ def test_sources(spark, tmp_path):
     assert rows == [("a.md", "hello"), ("sub/d.py", "print(1)")]
     titles = spark.createDataFrame([(0, "The Big Red House on Hill"), (1, "skipped"), (2, "one two three"), (4, "an extraordinary thing"), (6, "to of"), (8, "solo")], "doc_id long, title string")
     assert [r["query"] for r in src.sample_queries(titles, every=2).orderBy("doc_id").collect()] == ["big red house hill", "one two", "extraordinary", "solo"]
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/c"
+    index = SearchIndex.build(spark, frame(spark, random_docs(30, 20, 3, "c")), path)
+    want = found(index, "w1 w2")
+
+    def die(*args):
+        raise OSError("killed")
+
+    for step in ("write_once", "remove"):
+        broken = SearchIndex.open(spark, path)
+        with monkeypatch.context() as m:
+            m.setattr("quillion.sources.tables." + step, die)
+            try:
+                broken.upsert(frame(spark, [("new", "", "zzz")])) if step == "write_once" else broken.merge()
+            except OSError:
+                pass
+        again = SearchIndex.create(spark, path)
+        assert again.stats()["num_docs"] == 30 and found(again, "w1 w2") == want
+    assert again.upsert(frame(spark, [("new", "", "zzz")])) == (1, 0, 0) and SearchIndex.open(spark, path).stats()["num_docs"] == 31
+    with pytest.raises(FileExistsError, match="another writer"):
+        broken.add(frame(spark, [("late", "", "yyy")]))
+    for f in (tmp_path / "c").glob("manifest-*"):
+        f.unlink()
+    with pytest.raises(FileExistsError, match="no manifest"):
+        SearchIndex.create(spark, path)
+
+
+def test_searches_read_stored_statistics(spark, tmp_path):
+    index = SearchIndex.build(spark, frame(spark, random_docs(40, 20, 3, "s")), f"file://{tmp_path}/s")
+    index.add(frame(spark, random_docs(30, 20, 4, "t")))
+    index.delete("s-3", "t-4")
+    asked = spark.createDataFrame([(1, "w1 w2")], "query_id int, query string")
+    docs = random_docs(40, 20, 3, "s") + random_docs(30, 20, 4, "t")
+    want = [s for s, _ in naive(docs, "w1 w2", 10, 2, ["s-3", "t-4"])]
+    assert [r.score for r in index.search_batch(asked).orderBy("rank").collect()] == want == [s for s, _ in found(index, "w1 w2")]
+    plan = index.search("w1 w2")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "tf:bigint" in x.partition("ReadSchema")[2]]
+    assert len(scans) == 1 and "In(term, [" in scans[0]
+    assert index.rebuild_stats().keys() == {"seg-000000", "seg-000001"} and index.stats()["num_docs"] == 68
+
+
+def test_stream_of_incomplete_documents_fails(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"title": "no id"}\n')
+    query = ingest(src.stream_jsonl(spark, str(tmp_path / "in")), f"file://{tmp_path}/x", str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="no id|no body"):
+        query.awaitTermination(120)
