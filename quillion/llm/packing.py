@@ -185,7 +185,7 @@ def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes
                 )
                 del got, ids
             del raw, offsets
-            pa.default_memory_pool().release_unused()
+        forget()
         give_back()
 
     rows = docs.where("text <> ''").select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
@@ -225,10 +225,10 @@ def pack_group(table: pa.Table, group: int, capacities: Sequence[int], cost, num
         "used": pa.array(used.astype(np.int32)), "n_pieces": pa.array(np.diff(ends).astype(np.int32)),
         "doc_ids": _lists(doc_id, ends), "pieces": _lists(each, ends), "ids": _lists(pa.array(ids), np.r_[0, np.cumsum(used)]),
     })
-    return pa.Table.from_batches(got.to_batches(max_chunksize=256), got.schema)
+    return pa.Table.from_batches(got.to_batches(max_chunksize=64), got.schema)
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, model: str | bytes = MODEL, group_chars: int = 1 << 24) -> DataFrame:
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, model: str | bytes = MODEL, group_chars: int = 1 << 23) -> DataFrame:
     """(bin_id, capacity, used, n_pieces, doc_ids, pieces, ids): one row for each sequence.
 
     ``pieces`` is a list of (doc_id, part, start, length) with ``start`` in tokens;
@@ -242,8 +242,10 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost=None, mod
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         forget()  # all texts are encoded by now; the group needs the room
+        got = pack_group(table, key[0].as_py(), capacities, cost, number)
+        del table
         give_back()
-        return pack_group(table, key[0].as_py(), capacities, cost, number)
+        return got
 
     schema = f"bin_id long, capacity int, used int, n_pieces int, doc_ids array<{kind}>, pieces array<struct<doc_id: {kind}, part: int, start: long, length: int>>, ids array<int>"
     return tokenized_pieces(docs, max(capacities), groups, model).groupBy("pack").applyInArrow(fill, schema)

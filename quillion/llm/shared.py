@@ -87,8 +87,12 @@ def discard(df: DataFrame) -> None:
 
 
 def give_back() -> None:
-    """Return what this Python worker has freed to the machine: workers live on for other stages."""
+    """Return what this Python worker has freed to the machine: workers live on for other stages.
+
+    From the first call on Arrow allocates from the C library as well, which gives back more than its own pool.
+    """
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
