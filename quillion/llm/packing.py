@@ -155,7 +155,7 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, cost=No
     return out
 
 
-def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes = MODEL, piece_bytes: int = 1 << 20) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes = MODEL, piece_bytes: int = 1 << 21) -> DataFrame:
     """(pack, doc_id, part, start, length, ids): each row's tokens in pieces of at most ``most``, as raw numbers, and the group of each."""
     ship(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(_read_model(model))  # a vocabulary, not corpus data
@@ -185,8 +185,7 @@ def tokenized_pieces(docs: DataFrame, most: int, groups: int, model: str | bytes
                 )
                 del got, ids
             del raw, offsets
-        forget()
-        give_back()
+        give_back()  # what is solved stays: later tasks meet the same words
 
     rows = docs.where("text <> ''").select("doc_id", "text", F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
     return rows.mapInArrow(run, f"pack int, doc_id {kind}, part int, start long, length int, ids binary")
