@@ -56,7 +56,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no token; rows with a null or an equal ``doc_id`` are
     packed each for itself.
     """
-    return packing.pack(docs)
+    # the stages before have left their own workers and memory behind: time is spent to save room
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES = [
