@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
+import threading
+import time
+from collections.abc import Sequence
+from http.client import HTTPConnection, HTTPException
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, quote, urlsplit
 
 from .search_index import SearchIndex
 
@@ -51,3 +56,47 @@ def server(index: SearchIndex, addr: str) -> ThreadingHTTPServer:
 
 def serve(index: SearchIndex, addr: str = "127.0.0.1:8080") -> None:
     server(index, addr).serve_forever()
+
+
+def load(addr: str, queries: Sequence[str], connections: int = 32, seconds: float = 10.0, k: int = 10) -> dict:
+    """Asks a server for ``seconds`` over several connections, each going through all queries in turn.
+
+    Returns requests, errors (no answer, or a status that isn't 200), requests a
+    second, and nearest-rank percentiles of the answered ones in milliseconds.
+    """
+    if not queries:
+        raise ValueError("no query to ask")
+    host, _, port = addr.rpartition(":")
+    took, errors, lock = [], [0], threading.Lock()
+    start = time.perf_counter()
+
+    def ask(first: int) -> None:
+        link, turn, mine, failed = HTTPConnection(host, int(port), timeout=60), first, [], 0
+        while time.perf_counter() - start < seconds:
+            begun = time.perf_counter()
+            try:
+                link.request("GET", f"/search?q={quote(queries[turn % len(queries)])}&k={k}")
+                answered = link.getresponse()
+                answered.read()
+                good = answered.status == 200
+            except (OSError, HTTPException):
+                link.close()
+                good = False
+            if good:
+                mine.append(time.perf_counter() - begun)
+            else:
+                failed += 1
+            turn += 1
+        link.close()
+        with lock:
+            took.extend(mine)
+            errors[0] += failed
+
+    threads = [threading.Thread(target=ask, args=(n * len(queries) // connections,)) for n in range(connections)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    ran, took = time.perf_counter() - start, sorted(took)
+    at = lambda p: round(1000 * took[math.ceil(p * len(took)) - 1], 3) if took else None
+    return {"requests": len(took), "errors": errors[0], "per_second": round(len(took) / ran, 1), "p50_ms": at(0.5), "p95_ms": at(0.95), "p99_ms": at(0.99)}

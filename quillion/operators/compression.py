@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bits_needed
-from ..sources.tables import dense_ids
+from ..sources.tables import dense_ids, prefix_sums
 from .index import BLOCK, in_blocks
 
 HEADER = 8
@@ -29,6 +29,33 @@ def packed_blocks(posted: DataFrame, block: int = BLOCK) -> DataFrame:
     return widths.withColumn("bytes", HEADER + F.floor((bits + 7) / 8).cast("long"))
 
 
+def offsets(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``byte_offset``: where each block begins if all lie one behind the other, by term and number."""
+    return prefix_sums(packed, ["term", "block_no"], "bytes", "byte_offset")
+
+
+def encoded(posted: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term, block_no, first_doc, gaps, less): a row for each block, ``gaps`` from its second posting on, ``less`` is tf - 1."""
+    rows = F.sort_array(F.collect_list(F.struct("doc_id", "gap", "tf")))  # a block's postings, 128 at most
+    held = gaps(posted, block).groupBy("term", "block_no").agg(rows.alias("rows"))
+    return held.select(
+        "term", "block_no", F.col("rows")[0]["doc_id"].alias("first_doc"), F.expr("slice(rows.gap, 2, size(rows))").alias("gaps"), F.transform("rows", lambda r: r["tf"] - 1).alias("less")
+    )
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    """(term, block_no, doc_id, tf) of ``encoded`` blocks: the running sum of the gaps, and the ids between them."""
+    steps = F.expr("concat(array(0L), transform(gaps, g -> g + 1))")
+    rows = blocks.select("term", "block_no", "first_doc", F.posexplode(F.arrays_zip(steps.alias("step"), F.col("less").alias("less"))).alias("at", "r"))
+    ahead = F.sum("r.step").over(Window.partitionBy("term", "block_no").orderBy("at"))
+    return rows.select("term", "block_no", (F.col("first_doc") + ahead).alias("doc_id"), (F.col("r.less") + 1).alias("tf"))
+
+
+def frequency_at(blocks: DataFrame, place: str = "place") -> DataFrame:
+    """``blocks`` with ``tf`` of the posting at a place in its block, without decoding the others; null outside."""
+    return blocks.withColumn("tf", F.get("less", F.col(place)) + 1)
+
+
 def ratio(packed: DataFrame) -> DataFrame:
     """One row: packed_bytes, raw_bytes (two numbers of four bytes a posting)."""
     return packed.agg(F.sum("bytes").alias("packed_bytes"), (F.sum("n") * 8).alias("raw_bytes"))
@@ -39,6 +66,11 @@ def dictionary(stats: DataFrame) -> DataFrame:
     return dense_ids(stats.select("term"), ["term"], "term_id")
 
 
+def terms_at(ranks: DataFrame, listed: DataFrame) -> DataFrame:
+    """``ranks(term_id)`` with the term of each rank in ``dictionary``; null where there is none."""
+    return ranks.join(listed, "term_id", "left")
+
+
 def front_coded(terms: DataFrame) -> DataFrame:
     """(group_no, head, encoded_bytes) of groups of sixteen terms: each stores what differs from the term before."""
     code = terms.select("term", "term_id", F.expr(f"term_id div {GROUP}").alias("group_no"), F.hex(F.encode("term", "UTF-8")).alias("h"))

@@ -272,6 +272,25 @@ def gap_encoding(spark, sf_dir):
     return compression.packed_blocks(built(spark, sf_dir).postings).drop("n")
 
 
+@query(f"{_PACKED} SELECT term, block_no, bytes, (sum(bytes) OVER (ORDER BY term, block_no) - bytes)::BIGINT AS byte_offset FROM sized")
+def block_offsets(spark, sf_dir):
+    return compression.offsets(compression.packed_blocks(built(spark, sf_dir).postings)).select("term", "block_no", "bytes", "byte_offset")
+
+
+@query(f"{_BLOCKED} SELECT term, block_no, doc_id, tf FROM blocked")
+def decode_blocks(spark, sf_dir):
+    """All postings, put into blocks of gaps and taken out again."""
+    return compression.decoded(compression.encoded(built(spark, sf_dir).postings))
+
+
+@query(f"""{BASE}, listed AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM stats)
+  SELECT DISTINCT doc_id AS term_id, term FROM documents LEFT JOIN listed ON term_id = doc_id""")
+def terms_at_ranks(spark, sf_dir):
+    """The terms at the ranks that the documents have as ids."""
+    ranks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("term_id")).distinct()
+    return compression.terms_at(ranks, compression.dictionary(built(spark, sf_dir).term_stats))
+
+
 @query(f"{_PACKED} SELECT sum(bytes)::BIGINT AS packed_bytes, sum(n)::BIGINT * 8 AS raw_bytes FROM sized")
 def compression_ratio(spark, sf_dir):
     return compression.ratio(compression.packed_blocks(built(spark, sf_dir).postings))

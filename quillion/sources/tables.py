@@ -64,6 +64,21 @@ def dense_ids(df: DataFrame, order: list[str | Column], name: str, start: int =
     return placed.withColumn(name, (F.lit(start) + F.col("_before") + row).cast("long")).drop("_mark", "_part", "_before")
 
 
+def prefix_sums(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before, in the given order: 0 for the first, nulls add nothing.
+
+    As ``dense_ids``: sums within range partitions, moved by the totals of the
+    partitions before.
+    """
+    plan = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(plan.withColumn("_mark", F.monotonically_increasing_id()), "summed").withColumn("_part", F.shiftright("_mark", 33))
+    totals = held.groupBy("_part").agg(F.sum(value).alias("_total"))  # a row for each partition
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = held.withColumn("_inside", inside).join(offsets, "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_mark", "_part", "_before", "_inside")
+
+
 def path_of(spark: SparkSession, path: str):
     """(file system, Hadoop path) of a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

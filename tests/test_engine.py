@@ -231,3 +231,22 @@ def test_percentiles_and_ratios(spark):
     assert tuple(report.percentiles(rows, "value").first()) == (100, 50.5, 50.0, 95.0, 99.0)
     work = spark.createDataFrame([(5, 10, 20), (10, 0, 0)], "docs_scored int, postings_visited int, term_postings int")
     assert tuple(report.work_ratios(work, 100).first()) == pytest.approx((2, 0.075, 0.5))
+
+
+def test_offsets_decoding_and_ranks(rand):
+    _, index = rand
+    packed = compression.packed_blocks(index.postings, 4)
+    total = 0
+    for r in sorted(compression.offsets(packed).collect(), key=lambda r: (r.term, r.block_no)):
+        assert r.byte_offset == total
+        total += r.bytes
+    assert compression.offsets(packed.where("false")).count() == 0
+    blocks = compression.encoded(index.postings, 4)
+    got = compression.decoded(blocks).select("term", "doc_id", "tf").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, index.postings.select("term", "doc_id", "tf").collect()))
+    second = compression.frequency_at(blocks.withColumn("place", F.lit(1))).collect()
+    assert all(r.tf == (r.less[1] + 1 if len(r.less) > 1 else None) for r in second)
+    names = sorted(r.term for r in index.term_stats.select("term").collect())
+    ranks = index.postings.sparkSession.createDataFrame([(0,), (len(names) - 1,), (len(names),)], "term_id long")
+    found = {r.term_id: r.term for r in compression.terms_at(ranks, compression.dictionary(index.term_stats)).collect()}
+    assert found == {0: names[0], len(names) - 1: names[-1], len(names): None}

@@ -100,6 +100,18 @@ def test_http(spark, tmp_path):
     assert http_api.answer(index, "/nothing")[0] == 404 and http_api.answer(index, "/search")[0] == 400 and http_api.answer(index, "/search?q=a&k=x")[0] == 400
 
 
+def test_load(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(http_api, "answer", lambda index, target: (200 if "good" in target else 400, {}))
+    httpd = http_api.server(None, "127.0.0.1:0")
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    addr = f"127.0.0.1:{httpd.server_address[1]}"
+    got = http_api.load(addr, ["good one", "bad"], connections=2, seconds=0.5)
+    httpd.shutdown()
+    assert got["requests"] > 0 and got["errors"] > 0 and got["p50_ms"] <= got["p99_ms"]
+    with pytest.raises(ValueError):
+        http_api.load(addr, [])
+
+
 def test_stream(spark, tmp_path):
     docs = random_docs(20, 20, 4, "s")
     (tmp_path / "in").mkdir()
