@@ -49,8 +49,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = -(1 << 60)
 UNIT = 1_000_000
 _SHORT = 40  # longer chunks are solved one by one
-_P = np.uint64(0x9E3779B97F4A7C15)
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _fields(data: bytes):
@@ -81,7 +79,7 @@ def _fields(data: bytes):
 
 
 class Vocabulary:
-    """Pieces as bytes (a space for U+2581), scores in millionths of a nat, and a table from bytes to ids."""
+    """Pieces as bytes (a space for U+2581), scores in millionths of a nat, and a trie from bytes to ids."""
 
     def __init__(self, texts: list[bytes], scores: np.ndarray, bytes_at: np.ndarray | None, unknown: int, prefix: bool = True):
         """``texts`` has b"" for ids that stand for no text (control pieces, bytes, the unknown piece)."""
@@ -106,55 +104,59 @@ class Vocabulary:
         self._index(used)
 
     def _index(self, used: np.ndarray) -> None:
-        """Two tables, by a hash and by its multiple; a slot's low bits, which are its place, hold the id instead."""
-        h = {self._hash(self.texts[k]): int(k) for k in used}
-        assert len(h) == len(used)
-        odd, whole = int(_SECOND), (1 << 64) - 1
-        bits = max(17, (len(self.texts) + 1).bit_length())
-        while True:
-            mask, failed = (1 << bits) - 1, False
-            slots: list[dict[int, int]] = [{}, {}]
-            for x in h:
-                side = 0
-                for _ in range(200):
-                    at = (x if side == 0 else x * odd & whole) & mask
-                    slots[side][at], x = x, slots[side].get(at)
-                    if x is None:
-                        break
-                    side = 1 - side
-                else:
-                    failed = True
-                    break
-            if not failed:
-                break
-            bits += 1
-        self.mask = np.uint64(mask)
-        self.tables = []
-        for side in (0, 1):
-            table = np.zeros(mask + 1, np.uint64)
-            for at, x in slots[side].items():
-                table[at] = ((x if side == 0 else x * odd & whole) & ~mask & whole) | (h[x] + 1)
-            self.tables.append(table)
-        self.padded = np.r_[NONE, self.scores]  # by id + 1
-
-    @staticmethod
-    def _hash(t: bytes) -> int:
-        x = 0
-        for b in t:
-            x = (x * int(_P) + b + 1) & ((1 << 64) - 1)
-        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
-        return x ^ (x >> 32)
-
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Ids + 1 of hashes, 0 where there is none."""
-        mask = self.mask
-        one = self.tables[0][(h & mask).view(np.int64)]
-        g = h * _SECOND
-        two = self.tables[1][(g & mask).view(np.int64)]
-        one[(one ^ h) > mask] = 0
-        two[(two ^ g) > mask] = 0
-        one |= two
-        return (one & mask).view(np.int64)
+        """A trie of the pieces in one array: the child of a node by a byte is at ``base[node] + byte`` if ``up`` there is the node."""
+        kids: list[dict[int, int]] = [{}]
+        ends = {}
+        for k in used.tolist():
+            node = 0
+            for b in self.texts[k]:
+                if b not in kids[node]:
+                    kids[node][b] = len(kids)
+                    kids.append({})
+                node = kids[node][b]
+            ends[node] = k + 1
+        taken, free = bytearray(4 * len(kids) + 512), 1
+        taken[0] = 1
+        slot, base = np.zeros(len(kids), np.int64), np.zeros(len(kids), np.int64)
+        for node in sorted((x for x in range(len(kids)) if kids[x]), key=lambda x: -len(kids[x])):
+            low, *more = sorted(kids[node])
+            at = taken.index(0, free if more else 1)  # nodes of one child fill what the others leave
+            while at < low or any(taken[at - low + b] for b in more):
+                at = taken.index(0, at + 1)
+                if at + 512 > len(taken):
+                    taken += bytearray(len(taken))
+            free = at if more else free
+            base[node] = at - low
+            for b, child in kids[node].items():
+                slot[child] = at - low + b
+                taken[at - low + b] = 1
+        room = int(max(slot.max(), base.max())) + 256
+        self.base, self.up, self.ends = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        self.base[slot] = base
+        for node, below in enumerate(kids):
+            for child in below.values():
+                self.up[slot[child]] = slot[node]
+        for node, k in ends.items():
+            self.ends[slot[node]] = k
+        self.weights = np.r_[self.lost, self.scores]  # by id + 1
+
+    def matches(self, raw: np.ndarray, left: np.ndarray):
+        """Yields (places, bytes, ids + 1) of the pieces at each place of ``raw``, shorter ones first, none of over ``left`` bytes.
+
+        A place is left as soon as no piece goes on as its text does.
+        """
+        at, node = np.arange(len(raw), dtype=np.int32), np.zeros(len(raw), np.int32)
+        size = 0
+        while len(at):
+            to = self.base[node] + raw[at + size]
+            on = np.flatnonzero(self.up[to] == node)
+            at, node, size = at[on], to[on], size + 1
+            k = self.ends[node]
+            hit = np.flatnonzero(k)
+            if len(hit):
+                yield at[hit], size, k[hit]
+            on = np.flatnonzero(left[at] > size)
+            at, node = at[on], node[on]
 
     def spell(self, chunk: bytes) -> list[int]:
         """The ids of a lost character."""
@@ -254,113 +256,108 @@ class Solved:
         self.ids, self.at, self.score, self.gap = ids, at, score, gap
 
 
-def _alike(vocabulary: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best paths of chunks of one length (rows of ``text``): ids with -1 for none, their number, scores, gaps."""
-    rows, n = text.shape
-    v = vocabulary
-    with np.errstate(over="ignore"):
-        total = np.zeros((n + 1, rows), np.uint64)
-        for j in range(n):
-            total[j + 1] = total[j] * _P + text[:, j] + np.uint64(1)
-        power = [np.uint64(1)]
-        for _ in range(n):
-            power.append(power[-1] * _P)
-    lead = (text & 0xC0) != 0x80
-    plain = bool(lead.all())
-    best = np.full((n + 1, rows), NONE, np.int64)
-    best[0] = 0
-    second = np.full((n + 1, rows), NONE, np.int64)
-    back = np.zeros((n + 1, rows), np.int8)
-    by = np.zeros((n + 1, rows), np.int32)
-    for j in range(1, n + 1):
-        char = None  # a character's first byte has been met on the way back
-        for i in range(j - 1, max(0, j - v.longest) - 1, -1):
-            with np.errstate(over="ignore"):
-                h = total[j] - total[i] * power[j - i]
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                k = v.lookup(h)
-            s = v.padded[k]
-            if plain:
-                if i == j - 1:
-                    s[k == 0] = v.lost
-            elif j - i <= 4:
-                whole = lead[:, j] if j < n else np.ones(rows, bool)
-                if char is None:
-                    char = np.zeros(rows, bool)
-                s[lead[:, i] & ~char & whole & (k == 0)] = v.lost
-                char |= lead[:, i]
-            s += best[i]
-            second[j] = np.maximum(second[j], np.minimum(best[j], s))
-            better = s > best[j]
-            np.copyto(best[j], s, where=better)
-            np.copyto(back[j], j - i, where=better)
-            np.copyto(by[j], k, where=better, casting="same_kind")
-    gap = np.full(rows, -NONE, np.int64)
-    spelt = np.full((rows, n), -1, np.int32)  # ids at the place of their last byte
-    place = np.full(rows, n)
-    live = np.arange(rows)
+def _short(vocabulary: Vocabulary, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best paths of the short chunks raw[bounds[c]:bounds[c + 1]]: all ids in turn, their number, scores, gaps."""
+    v, rows, n = vocabulary, len(bounds) - 1, len(raw)
+    size = np.diff(bounds)
+    chunk = np.repeat(np.arange(rows, dtype=np.int32), size)
+    inside = np.arange(n, dtype=np.int32) - bounds[:-1].astype(np.int32)[chunk]
+    left = size.astype(np.int32)[chunk] - inside
+    lead = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.int32)
+    wide = np.zeros(n, np.int32)
+    wide[lead] = np.diff(np.r_[lead, n])  # bytes of the character that begins here
+    lost = wide > 0
+    found = []
+    for at, width, k in v.matches(raw, left):
+        if width <= 4:
+            lost[at[wide[at] == width]] = False
+        found.append((at, np.full(len(at), width, np.uint8), k))
+    at = np.flatnonzero(lost).astype(np.int32)
+    found.append((at, wide[at].astype(np.uint8), np.zeros(len(at), np.int32)))  # a character that is no piece
+    at, width, k = (np.concatenate(x) for x in zip(*found))
+    del found, lost
+    # edges by the place in the chunk where they end, the shorter first: all that lead to a place are there before one leaves it
+    kind = ((inside[at] + width) << 6 | width).astype(np.uint16)
+    order = np.argsort(kind, kind="stable")
+    kind, at, k = kind[order], at[order], k[order]
+    del order, width
+    start = at + chunk[at]  # a chunk has a place more than it has bytes
+    s = v.weights[k]
+    first = bounds[:-1] + np.arange(rows)
+    best, second = np.full(n + rows, NONE, np.int64), np.full(n + rows, NONE, np.int64)
+    back, by = np.zeros(n + rows, np.int8), np.zeros(n + rows, np.int32)
+    best[first] = 0
+    cuts = np.r_[np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]), len(kind)].tolist() if len(kind) else []
+    for a, b in zip(cuts, cuts[1:]):
+        width = int(kind[a]) & 63
+        to = start[a:b] + width
+        score, old = s[a:b] + best[start[a:b]], best[to]
+        second[to] = np.maximum(second[to], np.minimum(old, score))
+        better = np.flatnonzero(score > old)
+        to = to[better]
+        best[to], back[to], by[to] = score[better], width, k[a:b][better]
+    place = first + size
+    total, gap = best[place], np.full(rows, -NONE, np.int64)
+    spelt = np.full(n, -1, np.int32)  # ids at the place of their last byte
+    live = np.flatnonzero(size)
+    place = place[live]
     while len(live):
-        j = place[live]
-        loss = np.where(second[j, live] > NONE, best[j, live] - second[j, live], -NONE)
+        loss = np.where(second[place] > NONE, best[place] - second[place], -NONE)
         gap[live] = np.minimum(gap[live], loss)
-        k, width = by[j, live] - 1, back[j, live].astype(np.int64)
-        known = k >= 0
-        spelt[live[known], j[known] - 1] = k[known]
-        if not known.all():
-            for r, end, w in zip(live[~known], j[~known], width[~known]):
-                ids = v.spell(text[r, end - w : end].tobytes())
-                spelt[r, end - len(ids) : end] = ids
-        place[live] = j - width
-        live = live[place[live] > 0]
-    return spelt, (spelt >= 0).sum(1), best[n], gap
-
-
-def solve(vocabulary: Vocabulary, raw: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 14) -> Solved:
-    """The best path of each chunk raw[start:end]."""
+        k, width = by[place] - 1, back[place]
+        end = place - live
+        spelt[end - 1] = k
+        odd = np.flatnonzero(k < 0)
+        if len(odd):
+            if v.bytes_at is None:
+                spelt[end[odd] - 1] = v.unknown
+            else:
+                for b in range(1, int(width[odd].max()) + 1):
+                    e = end[odd[width[odd] >= b]] - b
+                    spelt[e] = v.bytes_at[raw[e]]
+        place = place - width
+        on = np.flatnonzero(place > first[live])
+        live, place = live[on], place[on]
+    ids = spelt >= 0
+    many = np.r_[0, np.cumsum(ids)]
+    return spelt[ids], many[bounds[1:]] - many[bounds[:-1]], total, gap
+
+
+def solve(vocabulary: Vocabulary, raw: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> Solved:
+    """The best path of each chunk raw[start:end], of the short ones for about ``step`` bytes at once."""
     n = len(start)
     size = end - start
     score, gap, count = np.zeros(n, np.int64), np.full(n, -NONE, np.int64), np.zeros(n, np.int64)
-    order = np.argsort(size, kind="stable")
     parts: list[tuple[np.ndarray, np.ndarray]] = []  # ids of chunks in this order
-    sizes = size[order]
-    a = 0
-    while a < n:
-        width = int(sizes[a])
-        if width > _SHORT or width == 0:
-            ids = []
-            if width:
-                chunk = raw[start[order[a]] : end[order[a]]].tobytes()
-                into = vocabulary.edges(chunk)
-                best = forward(into)
-                # the second path leaves the first at one place, so its loss is that of one edge
-                path, at, least = [], width, -NONE
-                while at:
-                    ways = sorted(((best[i] + s, i, k) for i, s, k in into[at] if best[i] > NONE), key=lambda x: (-x[0], -x[1]))
-                    if len(ways) > 1:
-                        least = min(least, ways[0][0] - ways[1][0])
-                    path.append((ways[0][1], at, ways[0][2]))
-                    at = ways[0][1]
-                for i, j, k in reversed(path):
-                    ids += [k] if k >= 0 else vocabulary.spell(chunk[i:j])
-                score[order[a]], gap[order[a]] = best[width], least
-            count[order[a]] = len(ids)
-            parts.append((order[a : a + 1], np.array(ids, np.int32)))
-            a += 1
-            continue
-        b = min(int(np.searchsorted(sizes, width, "right")), a + step)
-        rows = order[a:b]
-        ids, number, score[rows], gap[rows] = _alike(vocabulary, raw[start[rows, None] + np.arange(width)])
-        count[rows] = number
-        parts.append((rows, ids[ids >= 0]))
-        a = b
+    for c in np.flatnonzero(size > _SHORT):
+        ids, chunk = [], raw[start[c] : end[c]].tobytes()
+        into = vocabulary.edges(chunk)
+        best = forward(into)
+        # the second path leaves the first at one place, so its loss is that of one edge
+        path, at, least = [], len(chunk), -NONE
+        while at:
+            ways = sorted(((best[i] + s, i, k) for i, s, k in into[at] if best[i] > NONE), key=lambda x: (-x[0], -x[1]))
+            if len(ways) > 1:
+                least = min(least, ways[0][0] - ways[1][0])
+            path.append((ways[0][1], at, ways[0][2]))
+            at = ways[0][1]
+        for i, j, k in reversed(path):
+            ids += [k] if k >= 0 else vocabulary.spell(chunk[i:j])
+        score[c], gap[c], count[c] = best[-1], least, len(ids)
+        parts.append((np.array([c]), np.array(ids, np.int32)))
+    short = np.flatnonzero(size <= _SHORT)
+    ends = np.r_[0, np.cumsum(size[short])]
+    for a, b in pieces(ends, step):
+        rows, bounds = short[a:b], ends[a : b + 1] - ends[a]
+        pick = np.arange(bounds[-1]) + np.repeat(start[rows] - bounds[:-1], size[rows])
+        ids, count[rows], score[rows], gap[rows] = _short(vocabulary, raw[pick], bounds)
+        parts.append((rows, ids))
     at = np.r_[0, np.cumsum(count)]
     flat = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int32)
-    # they lie in the order of size; put them in the order of chunks
-    inorder = np.r_[0, np.cumsum(count[order])][:-1]
+    # they lie in the order of parts; put them in the order of chunks
+    order = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
     begin = np.empty(n, np.int64)
-    begin[order] = inorder
+    begin[order] = np.r_[0, np.cumsum(count[order])][:-1]
     pick = np.arange(at[-1]) + np.repeat(begin - at[:-1], count)
     return Solved(flat[pick], at, score, gap)
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,42 @@ def test_long_chunks_are_solved_as_short_ones():
     assert long.gap[0] == both[0][0] - both[1][0]
 
 
+def words_of(rng, letters, sizes):
+    enc = ["".join(rng.choice(letters) for _ in range(n)).encode() for n in sizes]
+    at = np.r_[0, np.cumsum([len(x) for x in enc])]
+    return enc, np.frombuffer(b"".join(enc), np.uint8), at[:-1], at[1:]
+
+
+@pytest.mark.parametrize("step", [1, 64, 1 << 18])
+def test_many_chunks_are_solved_as_each_alone(step):
+    rng = random.Random(4)
+    for v, letters in ((toy(), "aabbc é漢\n"), (toy(bytes_too=False), "abcé漢"), (S.load(S._read_model(S.MODEL)).vocabulary, "theirandong é漢🙂\x00")):
+        enc, raw, start, end = words_of(rng, letters, [rng.randint(1, 30) for _ in range(60)])
+        got = S.solve(v, raw, start, end, step)
+        alone = S.Vocabulary(v.texts, v.scores, v.bytes_at, v.unknown, False)
+        for c, chunk in enumerate(enc):
+            two = S.n_best(v.edges(chunk), 2)
+            assert got.score[c] == two[0][0] and got.gap[c] == (two[0][0] - two[1][0] if len(two) > 1 else -S.NONE)
+            ids = got.ids[got.at[c] : got.at[c + 1]]
+            if v.bytes_at is not None:
+                assert S.written(alone, ids, np.array([0, len(ids)]))[0].tobytes() == chunk
+
+
+def test_a_byte_of_a_long_word_costs_as_one_of_a_short_word():
+    rng, v = random.Random(5), S.load(S._read_model(S.MODEL)).vocabulary
+
+    def seconds(size):
+        _, raw, start, end = words_of(rng, "abcdefghijklmnopqrstuvwxyz", [size] * (360_000 // size))
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            S.solve(v, raw, start, end)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(36) < 2.5 * seconds(6)
+
+
 def test_real_model_round_trip_and_odd_rows(spark, odd, empty):
     got = S.encode(odd, n=3)
     rows = got.collect()
