@@ -41,6 +41,13 @@ def ranges(posted: DataFrame, width: int = WIDTH) -> DataFrame:
     return posted.groupBy("term", F.expr(f"doc_id div {width}").alias("bucket")).agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").alias("n"))
 
 
+def stored_ranges(posted: DataFrame) -> DataFrame:
+    """``ranges`` in order of the terms: laid out by terms and ranges once, and gathered there."""
+    placed = posted.withColumn("bucket", F.expr(f"doc_id div {WIDTH}")).repartitionByRange("term", "bucket")
+    got = placed.groupBy("term", "bucket").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").alias("n"))
+    return got.sortWithinPartitions("term", "bucket")
+
+
 def _usable(index: Index, wanted: list[str]) -> bool:
     _, stats = matched(index, wanted)
     low = stats.join(F.broadcast(index.corpus_stats), F.lit(True)).agg(F.min(bm25.idf("n_docs", "df"))).first()[0]

@@ -18,8 +18,8 @@ from ..functions import bm25
 from ..functions.text import content_hash
 from ..functions.tokenizer import distinct_terms, query_terms
 from ..sources import tables
-from .index import BLOCK, analyse, documents, postings, term_stats
-from .prune import Counters, ranges
+from .index import BLOCK, analyse, analysed_once, term_stats
+from .prune import Counters, stored_ranges
 from .search import few, top
 
 _MANIFEST = re.compile(r"manifest-(\d+)\.json")
@@ -197,9 +197,9 @@ class SegmentedIndex:
         base, read = f"{self.path}/seg-{number:06d}", self.spark.read.parquet
         own = F.lit(number).alias("segment")
         posted = read(f"{base}/postings")
-        sorted_ = lambda df: df.repartitionByRange("term").sortWithinPartitions("term").select(own, "*").write.mode("overwrite")
-        sorted_(term_stats(posted)).parquet(f"{base}/terms")
-        sorted_(ranges(posted)).parquet(f"{base}/buckets")
+        terms = term_stats(posted).repartitionByRange("term").sortWithinPartitions("term")
+        terms.select(own, "*").write.mode("overwrite").parquet(f"{base}/terms")
+        stored_ranges(posted).select(own, "*").write.mode("overwrite").parquet(f"{base}/buckets")
         held = read(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         listed = read(f"{base}/terms").agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
         return {"docs": held[0], "len": held[1], "dead": 0, "dead_len": 0, "terms": listed[0], "postings": listed[1]}
@@ -207,7 +207,7 @@ class SegmentedIndex:
     def _write(self, number: int, docs: DataFrame) -> dict[str, int]:
         ready = tables.dense_ids(tables.spread(docs.select("id", "title", "body")), [], "doc_id").withColumn("segment", F.lit(number))
         analysed = analyse(ready, self.manifest["title_weight"], self.manifest["remove_stopwords"])
-        return self._store(number, documents(analysed), postings(analysed))
+        return self._store(number, *analysed_once(analysed))
 
     def _bury(self, more: DataFrame, number: int) -> dict:
         """What the manifest says after these (segment, doc_id) are dead as well."""
