@@ -331,9 +331,22 @@ _SEGMENTS = f"""{BASE}, seg AS (
 def in_segments(spark, sf_dir):
     """(postings, documents, tombstones) of the corpus in three segments, with every fiftieth document deleted."""
     index = built(spark, sf_dir)
-    cut = lambda df: df.withColumn("segment", F.pmod("doc_id", F.lit(3)).cast("int"))
-    docs = cut(index.docs)
-    return cut(index.postings), docs, docs.where("doc_id % 50 = 7").select("segment", "doc_id")
+    return _cut(index.postings), *_marked(index.docs)
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("segment", F.pmod("doc_id", F.lit(3)).cast("int"))
+
+
+def _marked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = _cut(rows)
+    return docs, docs.where("doc_id % 50 = 7").select("segment", "doc_id")
+
+
+def docs_in_segments(spark, sf_dir):
+    """(documents, tombstones) as of ``in_segments``, for what needs no postings: no index is built for it."""
+    index = _built.get((spark.sparkContext.applicationId, sf_dir, 2)) or lazy(spark, sf_dir)
+    return _marked(index.docs)
 
 
 @query(
@@ -354,8 +367,8 @@ def segment_df_with_tombstones(spark, sf_dir):
 
 @query(f"{_SEGMENTS} SELECT segment, doc_id AS old_id, row_number() OVER (ORDER BY segment, doc_id) - 1 AS new_id FROM alive")
 def merge_renumber(spark, sf_dir):
-    _, docs, tombstones = in_segments(spark, sf_dir)
-    return segments.renumbered(docs, tombstones).select("segment", F.col("doc_id").alias("old_id"), "new_id")
+    docs, tombstones = docs_in_segments(spark, sf_dir)
+    return segments.renumbered(docs.select("segment", "doc_id"), tombstones).select("segment", F.col("doc_id").alias("old_id"), "new_id")
 
 
 @query(
@@ -376,7 +389,7 @@ def merge_search(spark, sf_dir):
 @query(f"{_SEGMENTS} SELECT id, segment, doc_id FROM alive WHERE doc_id % 20 = 4 UNION ALL SELECT id, segment, doc_id FROM alive WHERE FALSE")
 def delete_resolution(spark, sf_dir):
     """Deleting every document whose id ends its twenty with 4, and ids that aren't there."""
-    _, docs, tombstones = in_segments(spark, sf_dir)
+    docs, tombstones = docs_in_segments(spark, sf_dir)
     ids = docs.where("doc_id % 20 = 4").select("id").unionByName(docs.where("doc_id % 20 = 4").select(F.concat("id", F.lit("-missing")).alias("id")))
     return segments.resolve_deletes(docs, tombstones, ids)
 
@@ -387,7 +400,7 @@ def delete_resolution(spark, sf_dir):
 )
 def upsert_classify(spark, sf_dir):
     """All documents again: a tenth under new ids, a tenth with more text; the deleted ones count as new."""
-    _, docs, tombstones = in_segments(spark, sf_dir)
+    docs, tombstones = docs_in_segments(spark, sf_dir)
     turn = F.pmod("doc_id", F.lit(10))
     batch = corpus(spark, sf_dir).select(
         F.when(turn == 1, F.concat("id", F.lit("-new"))).otherwise(F.col("id")).alias("id"), "title", F.when(turn == 2, F.concat("body", F.lit(" more"))).otherwise(F.col("body")).alias("body")
