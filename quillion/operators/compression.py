@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bits_needed
 from ..sources.tables import dense_ids, prefix_sums
-from .index import BLOCK, in_blocks
+from .index import BLOCK, with_gaps
 
 HEADER = 8
 GROUP = 16
@@ -16,8 +16,7 @@ LONGEST_PREFIX = 255
 
 def gaps(posted: DataFrame, block: int = BLOCK) -> DataFrame:
     """(term, block_no, doc_id, tf, gap): the ids left out since the block's posting before; null at its first."""
-    own = Window.partitionBy("term", "block_no").orderBy("doc_id")
-    return in_blocks(posted, block).select("term", "block_no", "doc_id", "tf", (F.col("doc_id") - F.lag("doc_id").over(own) - 1).alias("gap"))
+    return with_gaps(posted, block).select("term", "block_no", "doc_id", "tf", "gap")
 
 
 def packed_blocks(posted: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -44,11 +43,10 @@ def encoded(posted: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def decoded(blocks: DataFrame) -> DataFrame:
-    """(term, block_no, doc_id, tf) of ``encoded`` blocks: the running sum of the gaps, and the ids between them."""
-    steps = F.expr("concat(array(0L), transform(gaps, g -> g + 1))")
-    rows = blocks.select("term", "block_no", "first_doc", F.posexplode(F.arrays_zip(steps.alias("step"), F.col("less").alias("less"))).alias("at", "r"))
-    ahead = F.sum("r.step").over(Window.partitionBy("term", "block_no").orderBy("at"))
-    return rows.select("term", "block_no", (F.col("first_doc") + ahead).alias("doc_id"), (F.col("r.less") + 1).alias("tf"))
+    """(term, block_no, doc_id, tf) of ``encoded`` blocks: the running sum of the gaps, and the ids between them, each block by itself."""
+    ids = F.expr("aggregate(gaps, array(first_doc), (ids, g) -> concat(ids, array(element_at(ids, -1) + g + 1)))")  # 128 at most
+    rows = blocks.select("term", "block_no", F.inline_outer(F.arrays_zip(ids.alias("doc_id"), F.transform("less", lambda t: t + 1).alias("tf"))))
+    return rows.select("term", "block_no", "doc_id", "tf")
 
 
 def frequency_at(blocks: DataFrame, place: str = "place") -> DataFrame:
