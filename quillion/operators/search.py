@@ -11,6 +11,10 @@ from ..sources.tables import dense_ids
 from .index import Index
 
 HEAP = 1 << 14
+#: Pairs of posting and query that a task of a batch meets.
+MET = 1 << 21
+#: Rows of a batch's terms up to which they go to every task.
+FEW = 1 << 18
 HITS = "rank int, doc_id long, score double"
 
 
@@ -58,17 +62,31 @@ def with_titles(index: Index, hits: DataFrame, k: int = 10) -> DataFrame:
     return few(hits, k).join(index.docs.select("doc_id", "id", "title"), "doc_id").select("rank", "id", "score", "title")
 
 
+def met(index: Index, asked: DataFrame, *columns: str) -> DataFrame:
+    """``asked(query_id, term, df, ...)`` with the postings (doc_id, columns) of each term, all of a document in one task.
+
+    The postings of asked terms are shuffled, each once whatever number of queries
+    has its term, into tasks of about ``MET`` pairs: more queries or documents make
+    more tasks, not larger ones.
+    """
+    n, pairs = asked.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    spark = asked.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // MET))
+    small = F.broadcast if n <= FEW else lambda df: df
+    own = index.postings.select("term", "doc_id", *columns).join(small(asked.select("term").distinct()), "term", "left_semi")
+    return own.repartition(tasks, "doc_id").join(small(asked), "term")
+
+
 def search_batch(index: Index, queries: DataFrame, k: int = 10, query: str = "query") -> DataFrame:
     """(query_id, rank, doc_id, score) for each row of ``queries(query_id, query)``.
 
-    Postings are filtered by the terms of all queries before they are joined;
-    Spark broadcasts the terms or not by their size.
+    Postings are filtered by the terms of all queries and laid out by documents before they are joined.
     """
     asked = queries.select("query_id", F.explode(distinct_terms(query, index.remove_stopwords)).alias("term"))
     stats = asked.join(index.term_stats.select("term", "df"), "term").join(F.broadcast(index.corpus_stats), F.lit(True))  # one row
-    weights = stats.select("query_id", "term", bm25.idf("n_docs", "df").alias("idf"), "avg_doc_len")
+    weights = stats.select("query_id", "term", "df", bm25.idf("n_docs", "df").alias("idf"), "avg_doc_len")
     part = bm25.contribution("idf", "tf", "doc_len", "avg_doc_len")
-    scores = index.postings.join(weights, "term").groupBy("query_id", "doc_id").agg(bm25.rounded(F.sum(part)).alias("score"))
+    scores = met(index, weights, "tf", "doc_len").groupBy("query_id", "doc_id").agg(bm25.rounded(F.sum(part)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -83,8 +101,10 @@ def query_work(index: Index, queries: DataFrame, query: str = "query") -> DataFr
 def batch_work(index: Index, queries: DataFrame, query: str = "query") -> DataFrame:
     """(query_id, docs_scored, postings_visited, term_postings) of scoring each query in full."""
     asked = queries.select("query_id", F.explode(distinct_terms(query, index.remove_stopwords)).alias("term"))
-    met = index.postings.select("term", "doc_id").join(asked, "term").groupBy("query_id").agg(F.count_distinct("doc_id").alias("docs_scored"), F.count("*").alias("postings_visited"))
+    known = asked.join(index.term_stats.select("term", "df"), "term")
+    each = met(index, known).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    seen = each.groupBy("query_id").agg(F.count("*").alias("docs_scored"), F.sum("n").alias("postings_visited"))
     none = F.lit(0)
-    return query_work(index, queries, query).join(met, "query_id", "left").select(
+    return query_work(index, queries, query).join(seen, "query_id", "left").select(
         "query_id", F.coalesce("docs_scored", none).alias("docs_scored"), F.coalesce("postings_visited", none).alias("postings_visited"), "term_postings"
     )
